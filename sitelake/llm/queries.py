@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sitelake.llm import canonical, quantiles, tokenize
+from sitelake.llm import canonical, neardup, packing, quantiles, tokenize
 from sitelake.sources.tables import read_table
 
 
@@ -19,6 +19,19 @@ def p2_percentiles(spark, root):
     return found.withColumn("quantile", F.round("quantile", 6))
 
 
+def _body_texts(spark, root):
+    return read_table(spark, root, "htmldocument", "page_id", "body_text").toDF("id", "text")
+
+
+def p4_found(spark, root):
+    pairs = neardup.near_pairs(_body_texts(spark, root), words=3, similarity=0.6)
+    return pairs.select(F.col("id_a").alias("page_id_a"), F.col("id_b").alias("page_id_b"))
+
+
+def p4_groups(spark, root):
+    return neardup.near_groups(_body_texts(spark, root)).withColumnRenamed("id", "page_id")
+
+
 def _url_fields(spark, root):
     return {
         "links.target_url": read_table(spark, root, "links", "target_url"),
@@ -38,12 +51,24 @@ def p8_ids(spark, root):
     return tokenize.encode_documents(read_table(spark, root, "documents", "doc_id", "text"))
 
 
+def p9_found(spark, root):
+    return packing.split_documents(read_table(spark, root, "documents", "doc_id", "text"))
+
+
+def p9_containers(spark, root):
+    return packing.pack_documents(read_table(spark, root, "documents", "doc_id", "text"))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_percentiles": p2_percentiles,
+    "p4_found": p4_found,
+    "p4_groups": p4_groups,
     "p7_found": p7_found,
     "p7_collapsed": p7_collapsed,
     "p8_ids": p8_ids,
+    "p9_found": p9_found,
+    "p9_containers": p9_containers,
 }
 
 _VALUES = """
