@@ -53,7 +53,7 @@ NAME_BEFORE = {
 }
 NAME_AFTER = {
     r"(?: wrote the first draft| approved the change| keurde het goed| a validé| lo aprobó| hat (?:es|das) (?:genehmigt|freigegeben)| zatwierdził| schreef| verfasste| escribió| a écrit| napisał| signed| replied| will call)": 2.2,
-    r"(?:</td>|[\"'] ?[,}]|[\"'] email=)": 0.8,
+    r"(?:</td>|[\"'] ?[,}]|[\"'] email=)": 1.2,
 }
 NEVER_NAMES = (
     "The|This|That|Street View|Mark|April|Rose Lantern|Olive Harbour|Rule|Ratio|Chapter|Version|Build|Order|Ping|Retry-After|Age|Regards|Some|Title|Product|Visit|Address|Adres|"
@@ -62,15 +62,15 @@ NEVER_NAMES = (
 
 _EMAIL = re.compile(rf"(?<![\w.+%-]){LOCAL}(?:{AT}{LABEL}(?:{DOT}{LABEL})*{DOT}[A-Za-z][A-Za-z-]*[A-Za-z]|\s(?:AT|at)\s{LABEL}(?:\s(?:DOT|dot)\s{LABEL})+)(?![\w@])")
 _STREET_WORD = rf"[{UP}][\w'’-]*"
-_ADDITION = r"(?:\s?[a-zA-Z](?![\w])|\s?bis\b|\s?ter\b|-\d{1,3}[a-z]?\b|/\d{1,4}[a-z]?\b|\sm\.\s?\d{1,4})?"
+_ADDITION = r"(?:[ \xa0]m\.[ \xa0]?\d{1,4}|[ \xa0]?[a-zA-Z](?![\w.])|[ \xa0]?bis\b|[ \xa0]?ter\b|-\d{1,3}[a-z]?\b|/\d{1,4}[a-z]?\b)?"
 _ADDRESSES = [
-    (re.compile(rf"(?<![\w./:-])\d{{1,5}}[A-Za-z]?(?:[-/]\d{{1,4}})?\s(?:[{UP}][\w'’-]*\s){{1,4}}(?:{STREETS_AFTER})\b"), 2.5),
-    (re.compile(rf"(?<![\w./:-])(?:[{UP}][\w'’-]*\s)?[{UP}][\w'’-]*(?:{STREETS_JOINED})\s\d{{1,5}}{_ADDITION}(?!\d)"), 2.5),
-    (re.compile(rf"(?<![\w./:-])(?:[{UP}][\w'’-]*(?:er|e|ische|en)\s)(?:Straße|Strasse|Str\.|Weg|Allee|Platz|Gasse|Ufer|Damm)\s\d{{1,5}}{_ADDITION}(?!\d)"), 2.5),
-    (re.compile(rf"(?<![\w./:-])(?:An der|Am|Auf dem|Auf der|Im|Zum|Zur|Unter den)\s(?:[{UP}][\w'’-]*\s){{1,3}}\d{{1,5}}{_ADDITION}(?!\d)"), 2.1),
-    (re.compile(rf"(?<![\w./:-])\d{{1,5}}(?:\s?(?:bis|ter|quater)|\s?[A-Za-z](?=[\s,]))?,?\s(?:{STREETS_FR})\s(?:(?:de la|de l['’]|des|du|de|d['’]|la|le|les)\s?)?[{UP}][\w'’-]*(?:\s[{UP}][\w'’-]*)*", re.I if False else 0), 2.5),
-    (re.compile(rf"(?<![\w./:-])(?:{STREETS_ES})\s(?:(?:de la|de los|de las|del|de|da|do|dos|das)\s)?[{UP}][\w'’-]*(?:\s(?:(?:de la|de los|del|de)\s)?[{UP}][\w'’-]*)*,?\s(?:n\.?[º°]\s?|nº\s?)?\d{{1,5}}{_ADDITION}(?!\d)"), 2.5),
-    (re.compile(rf"(?<![\w./:-])(?:{STREETS_PL})\s[{UP}][\w'’-]*(?:\s[{UP}][\w'’-]*)*\s\d{{1,5}}[a-zA-Z]?{_ADDITION}(?!\d)"), 2.5),
+    (re.compile(rf"(?<![\w./:-])\d{{1,5}}[A-Za-z]?(?:[-/]\d{{1,4}})?[ \xa0](?:[{UP}][\w'’-]*[ \xa0]){{1,4}}(?:{STREETS_AFTER})\b"), 2.5),
+    (re.compile(rf"(?<![\w./:-])(?:[{UP}][\w'’-]*[ \xa0])?[{UP}][\w'’-]*(?:{STREETS_JOINED})[ \xa0]\d{{1,5}}{_ADDITION}(?!\d)"), 2.5),
+    (re.compile(rf"(?<![\w./:-])(?:[{UP}][\w'’-]*(?:er|e|ische|en)[ \xa0])(?:Straße|Strasse|Str\.|Weg|Allee|Platz|Gasse|Ufer|Damm)[ \xa0]\d{{1,5}}{_ADDITION}(?!\d)"), 2.5),
+    (re.compile(rf"(?<![\w./:-])(?:An der|Am|Auf dem|Auf der|Im|Zum|Zur|Unter den)[ \xa0](?:[{UP}][\w'’-]*[ \xa0]){{1,3}}\d{{1,5}}{_ADDITION}(?!\d)"), 2.1),
+    (re.compile(rf"(?<![\w./:-])\d{{1,5}}(?:[ \xa0]?(?:bis|ter|quater)|[ \xa0]?[A-Za-z](?=[\s,]))?,?[ \xa0](?:{STREETS_FR})[ \xa0](?:(?:de la|de l['’]|des|du|de|d['’]|la|le|les)[ \xa0]?)?[{UP}][\w'’-]*(?:[ \xa0][{UP}][\w'’-]*)*"), 2.5),
+    (re.compile(rf"(?<![\w./:-])(?:{STREETS_ES})[ \xa0](?:(?:de la|de los|de las|del|de|da|do|dos|das)[ \xa0])?[{UP}][\w'’-]*(?:[ \xa0](?:(?:de la|de los|del|de)[ \xa0])?[{UP}][\w'’-]*)*,?[ \xa0](?:n\.?[º°][ \xa0]?|nº[ \xa0]?)?\d{{1,5}}{_ADDITION}(?!\d)"), 2.5),
+    (re.compile(rf"(?<![\w./:-])(?:{STREETS_PL})[ \xa0][{UP}][\w'’-]*(?:[ \xa0][{UP}][\w'’-]*)*[ \xa0]\d{{1,5}}[a-zA-Z]?{_ADDITION}(?!\d)"), 2.5),
 ]
 _EXTENSION = r"(?:\s?(?:ext\.?|extension|x|toestel|tst\.?|Durchwahl|poste|wew\.?)\s?\d{1,6})?"
 _PHONE = re.compile(rf"(?<![\w.,:/@#=-])(?:\+\d{{1,3}}|\(\+\d{{1,3}}\)|00\d{{2}}(?=[\s/(.-])|(?=[(0-9]))(?:[ ./-]?(?:\(\d{{1,4}}\)|\d{{1,9}})){{1,8}}{_EXTENSION}(?![\w@]|[./,:-]\d)")
@@ -96,13 +96,15 @@ _NAME = re.compile(
 )
 _BEFORE = [(re.compile(rf"(?:(?<![\w])|(?<=\s)){p}\s?$"), s) for p, s in NAME_BEFORE.items()]
 _AFTER = [(re.compile(p), s) for p, s in NAME_AFTER.items()]
-_LINE_START = re.compile(r"(?:^|\n|<br>|\| ?|--\r?\n)\s*$")
+_LINE_START = re.compile(r"(?:^|\n|<br>|\| ?|--\r?\n|[.!?;:—]\s)\s*$")
+_NEXT_LINE = re.compile(r" ?(?:\r?\n|<br>|\| ?)")
 _LINE_END = re.compile(r"\s*(?:\r?\n|<br>|\||$)")
 _PHONE_BEFORE = re.compile(rf"(?:{PHONE_WORDS})[^\n]{{0,14}}$", re.I)
 _ID_BEFORE = re.compile(rf"(?:{ID_WORDS})[^\w\n]{{0,6}}$", re.I)
-_NOT_BEFORE = re.compile(rf"(?:{NOT_A_NUMBER})[^\w\n]{{0,3}}$", re.I)
+_NOT_BEFORE = re.compile(rf"\b(?:{NOT_A_NUMBER})[^\w\n]{{0,3}}$", re.I)
 _NEVER = re.compile(rf"(?:{NEVER_NAMES})\b")
 _DIGITS = re.compile(r"\D")
+_SPACE = re.compile(r"\s")
 
 
 def luhn(digits: str) -> bool:
@@ -184,7 +186,7 @@ def _id_score(text: str, start: int, end: int, base: float) -> float:
     return score
 
 
-def _name_score(text: str, start: int, end: int, given: frozenset[str], anchors: list[tuple[int, int]]) -> float:
+def _name_score(text: str, start: int, end: int, given: frozenset[str], anchors: list[tuple[int, int, str]]) -> float:
     found = text[start:end]
     if _NEVER.match(found):
         return 0.0
@@ -198,9 +200,10 @@ def _name_score(text: str, start: int, end: int, given: frozenset[str], anchors:
         score += 0.6
     opens, closes = _LINE_START.search(before) or start == 0, _LINE_END.match(after)
     if opens and closes:
-        gap = text[end : end + 12]
-        near = any(0 <= a - end <= 9 for a, _ in anchors) or any(0 <= start - b <= 9 for _, b in anchors)
-        score += 2.0 if near else 0.7 if gap else 0.9
+        if any(0 <= start - b <= 9 and kind == "address" and _NEXT_LINE.fullmatch(text, b, start) for _, b, kind in anchors):
+            return 0.0  # the line below a street is a town
+        near = any(0 <= a - end <= 9 for a, _, _ in anchors) or any(0 <= start - b <= 9 for _, b, _ in anchors)
+        score += 2.0 if near else 0.7
         if re.search(r"(?:Regards|regards|groet(?:en)?|Grüße[n]?|Cordialement|Saludos|Pozdrawiam|--),?\s*$", before):
             score += 1.0
     elif opens or closes:
@@ -225,7 +228,7 @@ def find_items(text: str, given: frozenset[str]) -> list[tuple[int, int, str]]:
             for m in pattern.finditer(text):
                 if (score := _id_score(text, m.start(), m.end(), base)) >= THRESHOLD:
                     spans.append((score, m.start(), m.end(), "id_number"))
-    anchors = sorted((s, e) for _, s, e, _ in spans)
+    anchors = sorted((s, e, kind) for _, s, e, kind in spans)
     at = 0
     while m := _NAME.search(text, at):
         start, end = m.span()
@@ -238,7 +241,8 @@ def find_items(text: str, given: frozenset[str]) -> list[tuple[int, int, str]]:
             spans.append((best[0], best[1], best[2], "name"))
             at = best[2]
         else:
-            at = re.compile(r"\s").search(text, start + 1).end() if re.compile(r"\s").search(text, start + 1) else end
+            space = _SPACE.search(text, start + 1)
+            at = space.end() if space else end
     return _apart(spans)
 
 
