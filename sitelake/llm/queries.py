@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sitelake.llm import canonical, neardup, packing, quantiles, tokenize
+from sitelake.llm import canonical, encoding, main_content, neardup, packing, pii, quantiles, tokenize
 from sitelake.sources.tables import read_table
 
 
@@ -19,6 +19,27 @@ def p2_percentiles(spark, root):
     return found.withColumn("quantile", F.round("quantile", 6))
 
 
+def _contents(spark, root):
+    return read_table(spark, root, "pages", "id", "content").toDF("id", "text")
+
+
+def p3_found(spark, root):
+    return encoding.label_pages(_contents(spark, root)).select(F.col("id").alias("page_id"))
+
+
+def p3_restored(spark, root):
+    restored = encoding.label_pages(_contents(spark, root), restore=True)
+    return restored.select(F.col("id").alias("page_id"), "states", "complete", F.col("text").alias("content"))
+
+
+def p5_found(spark, root):
+    return main_content.main_blocks(_contents(spark, root)).select(F.col("id").alias("page_id"), "block_no")
+
+
+def p5_texts(spark, root):
+    return main_content.main_blocks(_contents(spark, root), with_text=True).select(F.col("id").alias("page_id"), "text")
+
+
 def _body_texts(spark, root):
     return read_table(spark, root, "htmldocument", "page_id", "body_text").toDF("id", "text")
 
@@ -59,16 +80,34 @@ def p9_containers(spark, root):
     return packing.pack_documents(read_table(spark, root, "documents", "doc_id", "text"))
 
 
+def _documents_and_names(spark, root):
+    return read_table(spark, root, "documents", "doc_id", "text"), read_table(spark, root, "given_names", "given_name")
+
+
+def p10_found(spark, root):
+    return pii.items(*_documents_and_names(spark, root))
+
+
+def p10_redacted(spark, root):
+    return pii.redacted(*_documents_and_names(spark, root))
+
+
 QUERIES = {
     "p2_found": p2_found,
     "p2_percentiles": p2_percentiles,
+    "p3_found": p3_found,
+    "p3_restored": p3_restored,
     "p4_found": p4_found,
     "p4_groups": p4_groups,
+    "p5_found": p5_found,
+    "p5_texts": p5_texts,
     "p7_found": p7_found,
     "p7_collapsed": p7_collapsed,
     "p8_ids": p8_ids,
     "p9_found": p9_found,
     "p9_containers": p9_containers,
+    "p10_found": p10_found,
+    "p10_redacted": p10_redacted,
 }
 
 _VALUES = """
