@@ -5,8 +5,9 @@ that the share of components in which two fingerprints differ follows one minus
 their Jaccard similarity. Pigeonhole: of BLOCKS blocks, a pair that differs in
 fewer components than there are blocks must share one whole block; pairs with
 more differing components share one with a probability that PERMUTATIONS and BINS
-set (0.999 at a similarity of 0.6). Pairs that share a block are compared by the
-Hamming distance of sketches of a bit a component, and what remains by the exact similarity.
+set (0.999 at a similarity of 0.6). A row of a block carries its text's sketch,
+so that the join itself compares Hamming distances and writes only close pairs;
+what remains is compared by the exact similarity.
 """
 
 from __future__ import annotations
@@ -28,8 +29,10 @@ PERMUTATIONS, BINS = 12, 16
 #: Components of a block, each of another permutation.
 BLOCK = 4
 BLOCKS = PERMUTATIONS * BINS // BLOCK
-#: Bits of a sketch: one of each component.
-SKETCH_BITS = PERMUTATIONS * BINS
+#: Bits of a sketch: one of each of the first components.
+SKETCH_BITS = 128
+#: So many ids of texts to compare are broadcast, at 8 bytes each; more are joined by shuffle.
+MOST_BROADCAST_IDS = 500_000
 #: Characters of text that are hashed at a time.
 SLICE_BYTES = 8_000_000
 _WHITE = "[ \t\n\r]+"
@@ -108,8 +111,8 @@ def _blocks(prints: np.ndarray) -> np.ndarray:
 
 
 def _sketch(prints: np.ndarray) -> np.ndarray:
-    """(n, SKETCH_BITS / 64) words of one bit for each component."""
-    bits = (_mixed(prints.reshape(len(prints), -1)) >> np.uint64(17)) & np.uint64(1)
+    """(n, WORDS) words of one bit for each of the first SKETCH_BITS components."""
+    bits = (_mixed(prints.reshape(len(prints), -1)[:, :SKETCH_BITS]) >> np.uint64(17)) & np.uint64(1)
     weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
     return np.stack([(bits[:, k * 64 : k * 64 + 64] * weights).sum(axis=1, dtype=np.uint64) for k in range(WORDS)], axis=1)
 
@@ -185,19 +188,18 @@ def similar_classes(texts: DataFrame, words: int, similarity: float) -> tuple[Da
     """
     members = materialise(classes_of(texts))
     chosen = members.where("id = rep").select("id")
-    own = texts.join(chosen, "id", "left_semi").dropDuplicates(["id"])
-    table = materialise(fingerprint_table(texts.where("text is not null and id is not null").select("id", "text"), words).join(chosen, "id", "left_semi").dropDuplicates(["id"]))
-    blocks = table.select("id", F.explode("blocks").alias("block"))
-    left, right = blocks.select("block", F.col("id").alias("a")), blocks.select("block", F.col("id").alias("b"))
-    near = left.join(right, "block").where("a < b").select("a", "b").distinct()
-    left_sketch = table.select(F.col("id").alias("a"), *_SKETCH)
-    right_sketch = table.select(F.col("id").alias("b"), *[F.col(c).alias(f"t{c}") for c in _SKETCH])
+    table = fingerprint_table(texts.where("text is not null and id is not null").select("id", "text"), words)
+    table = table.join(chosen, "id", "left_semi").dropDuplicates(["id"])
+    blocks = table.select("id", F.explode("blocks").alias("block"), *_SKETCH)
+    left = blocks.select("block", F.col("id").alias("a"), *_SKETCH)
+    right = blocks.select(F.col("block").alias("block_b"), F.col("id").alias("b"), *[F.col(c).alias(f"t{c}") for c in _SKETCH])
     far = " + ".join(f"bit_count({c} ^ t{c})" for c in _SKETCH)
-    close = materialise(
-        near.join(left_sketch, "a").join(right_sketch, "b").where(f"{far} <= {most_differing_bits(similarity)}").select("a", "b")
-    )
+    near = F.expr(f"block = block_b AND a < b AND {far} <= {most_differing_bits(similarity)}")
+    close = materialise(left.join(right, near).select("a", "b").distinct())
     used = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
-    used_texts = own.join(used, "id", "left_semi")
+    if used.count() <= MOST_BROADCAST_IDS:
+        used = F.broadcast(used)
+    used_texts = texts.join(used, "id", "left_semi").dropDuplicates(["id"])
     both = (
         close.join(used_texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
         .join(used_texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
