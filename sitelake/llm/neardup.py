@@ -29,8 +29,8 @@ PERMUTATIONS, BINS = 12, 16
 #: Components of a block, each of another permutation.
 BLOCK = 4
 BLOCKS = PERMUTATIONS * BINS // BLOCK
-#: Bits of a sketch: one of each of the first components.
-SKETCH_BITS = 128
+#: Bits of a sketch: one of each component.
+SKETCH_BITS = PERMUTATIONS * BINS
 #: So many ids of texts to compare are broadcast, at 8 bytes each; more are joined by shuffle.
 MOST_BROADCAST_IDS = 500_000
 #: Characters of text that are hashed at a time.
@@ -107,7 +107,7 @@ def _blocks(prints: np.ndarray) -> np.ndarray:
     total = np.zeros((n, PERMUTATIONS // BLOCK, BINS), np.uint64)
     for j in range(BLOCK):
         total = _mixed(total * np.uint64(31) + grouped[:, :, j])
-    return _mixed(total.reshape(n, BLOCKS) ^ _constants(BLOCKS, 5)[None, :])
+    return _mixed(total.reshape(n, BLOCKS) ^ _constants(BLOCKS, 5)[None, :]) >> np.uint64(24)  # 40 bits, for a smaller shuffle; what they let through is compared anyway
 
 
 def _sketch(prints: np.ndarray) -> np.ndarray:
