@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -145,8 +146,8 @@ def fingerprint_table(texts: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(run, "id long, blocks array<long>, " + ", ".join(f"{c} long" for c in _SKETCH))
 
 
-def most_differing_bits(similarity: float, deviations: float = 3.5) -> int:
-    """Sketch bits in which a pair of at least `similarity` differs, but for one in 4,000."""
+def most_differing_bits(similarity: float, deviations: float = 3.2) -> int:
+    """Sketch bits in which a pair of at least `similarity` differs, but for one in 1,400."""
     p = (1 - similarity) / 2
     return int(np.ceil(SKETCH_BITS * p + deviations * (SKETCH_BITS * p * (1 - p)) ** 0.5))
 
@@ -156,14 +157,29 @@ def shingle_set(text: str, words: int) -> set[tuple[str, ...]]:
     return set(zip(*(split[j:] for j in range(words))))
 
 
+def shingle_numbers(text: str, words: int) -> np.ndarray:
+    """Hashes of the distinct shingles, sorted; they compare within one process only."""
+    split = [w for w in _SPLIT.split(text) if w]
+    return np.unique(np.fromiter(map(hash, zip(*(split[j:] for j in range(words)))), np.int64))
+
+
+#: Texts whose shingle hashes a task keeps, some 8 bytes a word each.
+KEPT_TEXTS = 4096
+
+
 def verify(pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """(a, b, similarity) of (a, b, ta, tb): the exact Jaccard similarity of the texts' shingles, where it is large enough."""
 
     def run(batches):
+        numbers = lru_cache(KEPT_TEXTS)(lambda text: shingle_numbers(text, words))
         for batch in batches:
             rows = []
             for a, b, ta, tb in zip(*(c.to_pylist() for c in batch.columns)):
-                x, y = shingle_set(ta, words), shingle_set(tb, words)
+                x, y = numbers(ta), numbers(tb)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both < 0.99 * similarity * (len(x) + len(y) - both):
+                    continue
+                x, y = shingle_set(ta, words), shingle_set(tb, words)  # exact, whatever the hashes
                 both = len(x & y)
                 if x and y and (j := both / (len(x) + len(y) - both)) >= similarity:
                     rows.append((a, b, j))
