@@ -2,8 +2,8 @@
 
 from importlib import import_module
 
-MODULES = ("skew_and_nested",)
-FLAGSHIP = "p1_link_counts"
+MODULES = ("skew_and_nested", "crawl")
+FLAGSHIP = "page_overview"
 
 
 def _all(name: str) -> dict:
