@@ -62,7 +62,7 @@ NEVER_NAMES = (
 
 _EMAIL = re.compile(rf"(?<![\w.+%-]){LOCAL}(?:{AT}{LABEL}(?:{DOT}{LABEL})*{DOT}[A-Za-z][A-Za-z-]*[A-Za-z]|\s(?:AT|at)\s{LABEL}(?:\s(?:DOT|dot)\s{LABEL})+)(?![\w@])")
 _STREET_WORD = rf"[{UP}][\w'’-]*"
-_ADDITION = r"(?:[ \xa0]m\.[ \xa0]?\d{1,4}|[ \xa0]?[a-zA-Z](?![\w.])|[ \xa0]?bis\b|[ \xa0]?ter\b|-\d{1,3}[a-z]?\b|/\d{1,4}[a-z]?\b)?"
+_ADDITION = r"(?:[ \xa0]m\.[ \xa0]?\d{1,4}|[a-zA-Z](?!\w)|[ \xa0][a-dA-D](?!\w)(?!\.[ \xa0]?\d)|[ \xa0]?bis\b|[ \xa0]?ter\b|-\d{1,3}[a-z]?\b|/\d{1,4}[a-z]?\b)?"
 _ADDRESSES = [
     (re.compile(rf"(?<![\w./:-])\d{{1,5}}[A-Za-z]?(?:[-/]\d{{1,4}})?[ \xa0](?!The\b)(?:[{UP}][\w'’-]*[ \xa0]){{1,4}}(?:{STREETS_AFTER})\b"), 2.5),
     (re.compile(rf"(?<![\w./:-])(?:[{UP}][\w'’-]*[ \xa0])?[{UP}][\w'’-]*(?:{STREETS_JOINED})[ \xa0]\d{{1,5}}{_ADDITION}(?!\d)"), 2.5),
