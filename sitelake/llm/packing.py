@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelake.llm.tokenize import vocabulary, vocabulary_path
+from sitelake.sources.tables import materialise
 
 CAPACITY = 2048
 DIMENSIONS, BITS = 3, 10
@@ -142,8 +143,11 @@ def pack(sized: DataFrame, capacity: int = CAPACITY, block: int = BLOCK) -> Data
 
 
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
-    """pack() of documents along the curve of their tokens."""
-    return pack(curve_table(documents, path), capacity)
+    """pack() of documents along the curve of their tokens.
+
+    The sizes and keys are written once, as a range sort reads its input twice.
+    """
+    return pack(materialise(curve_table(documents, path)), capacity)
 
 
 def split_documents(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
