@@ -27,9 +27,8 @@ def heavy_buckets(df: DataFrame, keys: Sequence[str], share: float = HEAVY_SHARE
     At most 1 / share numbers reach the driver.
     """
     counts = df.groupBy(bucket_of(keys).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    heavy = counts.join(F.broadcast(total)).where(F.col("n") >= F.col("total") * F.lit(share))  # one row beside
-    return [r["bucket"] for r in heavy.select("bucket").collect()]
+    total = df.count()
+    return [r["bucket"] for r in counts.where(F.col("n") >= max(1.0, total * share)).select("bucket").collect()]
 
 
 def salted_aggregate(
@@ -114,11 +113,5 @@ def url_neighbour_counts(links: DataFrame) -> DataFrame:
 
 def heavy_urls(links: DataFrame, share: float = 0.03) -> DataFrame:
     """(side, url): URLs that hold at least `share` of all rows of `links` in that column, null ends counted in the total."""
-    counts = _end_counts(links)
-    total = links.agg(F.count(F.lit(1)).alias("total"))
-    return (
-        counts.where("url is not null")
-        .join(F.broadcast(total))  # one row
-        .where(F.col("n") >= F.col("total") * F.lit(share))
-        .select("side", "url")
-    )
+    least = links.count() * share
+    return _end_counts(links).where((F.col("url").isNotNull()) & (F.col("n") >= least)).select("side", "url")
