@@ -22,8 +22,7 @@ def words(text: Column) -> Column:
 
 def topical(text: Column, stop: list[str] = STOP_WORDS) -> Column:
     """words() of two letters or more that are no stop words; n-grams bridge what is left out."""
-    listed = F.array(*map(F.lit, stop))
-    return F.filter(words(text), lambda w: (F.length(w) > 1) & ~F.array_contains(listed, w))
+    return F.filter(words(text), lambda w: (F.length(w) > 1) & ~w.isin(*stop))
 
 
 def top_ngrams(texts: DataFrame, n: int, top: int = 20) -> DataFrame:
