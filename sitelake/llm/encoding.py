@@ -11,10 +11,15 @@ gets its state's inverse transform.
 The character model (bigrams, backed off to character classes) is fitted on a
 bounded sample of pages; all statistics are per page, so that a garbled page that
 repeats itself counts once.
+
+Characters beyond ASCII count alike whether they stand as such or as HTML
+entities; a restored passage takes the place of its entities, all else stays as
+it is stored.
 """
 
 from __future__ import annotations
 
+import html
 import math
 import re
 import unicodedata
@@ -37,7 +42,10 @@ LEAVE, STAY, BACK = math.log(2e-6), math.log(0.9), math.log(0.1)
 LEAVE_MULTI = math.log(1e-2)
 LOST = "lost"
 _WORD = re.compile('[ \t\r\n<>"]+')
-_RUN = re.compile("[^\x00-\x7f]+")
+_ENTITY = re.compile("&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+_PIECE = re.compile(f"{_ENTITY.pattern}|.", re.S)
+#: A character beyond ASCII in UTF-8, each byte as the character of its number.
+_SEQUENCE = re.compile("[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}")
 
 #: Pairs of true encoding and encoding that the text was read with.
 MULTI = ["cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "mac_roman", "cp437", "cp850", "cp866", "koi8_r", "iso8859_2"]
@@ -88,6 +96,45 @@ def _undo_single(text: str, true: str, wrong: str) -> str | None:
     return None if raw is None else "".join(chr(b) if b < 128 else table[b] for b in raw)
 
 
+@lru_cache(1 << 12)
+def _opened_entity(entity: str) -> str:
+    """The character beyond ASCII that an entity stands for; else the entity itself."""
+    c = html.unescape(entity)
+    if c.isascii() or len(c) > 1 or c == "\ufffd" and entity.lower().strip("&#;").lstrip("0") not in ("65533", "xfffd"):
+        return entity
+    return c
+
+
+def opened(word: str) -> str:
+    """The word with its entities beyond ASCII as characters."""
+    return _ENTITY.sub(lambda m: _opened_entity(m.group()), word) if "&" in word else word
+
+
+def _undo_sequences(word: str, wrong: str) -> str | None:
+    """The stored word with each UTF-8 character in it restored, where correct characters and entities stand beside them."""
+    stored = _PIECE.findall(word)
+    table = byte_of(wrong)
+    raw = "".join(chr(table.get(ord(c), 0)) if len(c) == 1 and c >= "\x80" else c[0] for c in map(_opened_entity, stored))
+    parts, at = [], 0
+    for m in _SEQUENCE.finditer(raw):
+        parts += [*stored[at : m.start()], m.group().encode("latin-1").decode("utf-8")]
+        at = m.end()
+    return "".join([*parts, *stored[at:]]) if at else None
+
+
+def readings(word: str, state: str) -> list[str]:
+    """What a state can restore a stored word to: as it stands, and where it holds entities also with them read as characters."""
+    found = [STATES[state](word)]
+    if (shown := opened(word)) != word:
+        found.append(STATES[state](shown))
+        if state.startswith("utf-8 as "):
+            found.append(_undo_sequences(word, state.removeprefix("utf-8 as ")))
+        elif state.startswith("utf-8 twice as "):
+            wrong = state.removeprefix("utf-8 twice as ")
+            found.append((once := _undo_sequences(word, wrong)) and _undo_sequences(once, wrong))
+    return [r for r in found if r is not None and r != word and r != shown and "\ufffd" not in opened(r)]
+
+
 def _states() -> dict:
     states = {}
     for wrong in MULTI:
@@ -122,8 +169,10 @@ def char_class(c: str) -> str:
 
 
 def words_of(text: str) -> list[str]:
-    """The strings between ASCII white space, quotes and tags that hold a character beyond ASCII, in order."""
-    return [] if text.isascii() else [w for w in _WORD.split(text) if not w.isascii()]
+    """The strings between ASCII white space, quotes and tags that hold a character or entity beyond ASCII, in order, as stored."""
+    if text.isascii() and "&" not in text:
+        return []
+    return [w for w in _WORD.split(text) if not opened(w).isascii()]
 
 
 def _bigrams(word: str):
@@ -135,7 +184,7 @@ def _bigrams(word: str):
 
 
 def page_statistics(text: str) -> set[str]:
-    return {b for w in words_of(text) for b in _bigrams(w)}
+    return {b for w in words_of(text) for b in _bigrams(opened(w))}
 
 
 class CharModel:
@@ -177,12 +226,11 @@ class Labeller:
         self.emissions = lru_cache(1 << 17)(self._emissions)
 
     def _emissions(self, word: str) -> tuple[float, dict[str, float]]:
-        clean, others = self.model.score(word), {}
-        for name, undo in STATES.items():
-            restored = undo(word)
-            if restored is not None and restored != word and "�" not in restored:
-                others[name] = self.model.score(restored)
-        if "�" in word:
+        clean, others = self.model.score(shown := opened(word)), {}
+        for name in STATES:
+            if found := readings(word, name):
+                others[name] = max(self.model.score(opened(r)) for r in found)
+        if "�" in shown:
             others[LOST] = 0.0
             clean = min(clean, -40.0)
         return clean, others
@@ -229,15 +277,15 @@ class Labeller:
 
         def put(m: re.Match) -> str:
             word = m.group()
-            if word.isascii():
+            if opened(word).isascii():
                 return word
             state = next(labels)
             if state is None:
                 return word
             if state not in used:
                 used.append(state)
-            restored = STATES[state](word) if state != LOST else None
-            return word if restored is None else restored
+            found = readings(word, state) if state != LOST else []
+            return max(found, key=lambda r: self.model.score(opened(r)), default=word)
 
         return re.sub('[^ \t\r\n<>"]+', put, text), used
 
@@ -262,8 +310,8 @@ def fit_model(pages: DataFrame) -> CharModel:
 def label_pages(pages: DataFrame, restore: bool = False) -> DataFrame:
     """(id) of (id, text): the rows with at least one garbled passage; with `restore` also states (in order of appearance), complete and text.
 
-    complete is false where lost characters remain. Null, empty and pure ASCII
-    texts are never garbled. Rows that repeat are labelled each time.
+    complete is false where lost characters remain. Null and empty texts, and those
+    without a character or entity beyond ASCII, are never garbled. Rows that repeat are labelled each time.
     """
     model = fit_model(pages)
     counts = (model.kept, model.first, model.of_class, model.pair, model.pair_first, model.char, model.size)
@@ -291,5 +339,5 @@ def label_pages(pages: DataFrame, restore: bool = False) -> DataFrame:
                 yield pa.record_batch([pa.array(ids, pa.int64())], names=["id"])
 
     schema = "id long" + (", states array<string>, complete boolean, text string" if restore else "")
-    beyond_ascii = pages.where(F.octet_length("text") > F.length("text"))
+    beyond_ascii = pages.where((F.octet_length("text") > F.length("text")) | F.col("text").rlike(_ENTITY.pattern))
     return beyond_ascii.select("id", "text").mapInArrow(run, schema)

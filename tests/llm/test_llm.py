@@ -1,5 +1,6 @@
 import random
 import re
+from html.entities import codepoint2name
 from itertools import combinations
 
 import numpy as np
@@ -80,6 +81,18 @@ def test_encoding_table(spark):
     assert encoding.label_pages(df.limit(0)).count() == 0
 
 
+def test_garbled_entities(spark, labeller):
+    as_entities = lambda t: "".join(f"&{codepoint2name[ord(c)]};" if ord(c) in codepoint2name else f"&#{ord(c)};" if c > "~" else c for c in t)
+    garbled = as_entities(wrong(CLEAN[1], "utf-8", "cp1252"))
+    assert garbled.isascii() and labeller.restore(garbled)[0] == CLEAN[1]
+    correct = [as_entities(t) for t in CLEAN] + ["&#0; &#55357; &amp;eacute; a&b; &lt;"]
+    assert [labeller.restore(t) for t in correct] == [(t, []) for t in correct]
+    assert labeller.restore("La &ldquo;th&Atilde;&copy;i&Atilde;&uml;re&rdquo; &amp;c.")[0] == "La &ldquo;théière&rdquo; &amp;c."
+    assert labeller.restore("caf&#65533; br&#xFFFD;l")[1] == [encoding.LOST]
+    rows = list(enumerate(CLEAN * 30 + correct)) + [(1000, garbled), (1001, "caf&#65533; br&#65533;l&#65533;e")]
+    assert {r["id"] for r in encoding.label_pages(spark.createDataFrame(rows, "id long, text string")).collect()} == {1000, 1001}
+
+
 # near duplicates
 def test_near_pairs_against_brute_force(spark):
     rng = random.Random(3)
