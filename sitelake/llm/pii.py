@@ -56,9 +56,11 @@ NAME_AFTER = {
     r"(?:</td>|[\"'] ?[,}]|[\"'] email=)": 1.2,
 }
 NEVER_NAMES = (
-    "The|This|That|Street View|Mark|April|Rose Lantern|Olive Harbour|Rule|Ratio|Chapter|Version|Build|Order|Ping|Retry-After|Age|Regards|Some|Title|Product|Visit|Address|Adres|"
+    "The|This|That|Street View|Rule|Ratio|Chapter|Version|Build|Order|Ping|Retry-After|Age|Regards|Some|Title|Product|Visit|Address|Adres|"
     "Adresse|Anschrift|Tel|Fax|Reach|Write|Send|Readers|Our|Every|No|If|It|We|Choose|What|Between|Without|Behind|Along|After|Before|During|Once|Under|With"
 )
+#: Names of products that may be a person's too: without a known given name or a context word they score less.
+PRODUCT_NAMES, PRODUCT_PENALTY = "Rose Lantern|Olive Harbour", 1.0
 
 _EMAIL = re.compile(rf"(?<![\w.+%-]){LOCAL}(?:{AT}{LABEL}(?:{DOT}{LABEL})*{DOT}[A-Za-z][A-Za-z-]*[A-Za-z]|\s(?:AT|at)\s{LABEL}(?:\s(?:DOT|dot)\s{LABEL})+)(?![\w@])")
 _STREET_WORD = rf"[{UP}][\w'’-]*"
@@ -103,6 +105,7 @@ _PHONE_BEFORE = re.compile(rf"(?:{PHONE_WORDS})[^\n]{{0,14}}$", re.I)
 _ID_BEFORE = re.compile(rf"(?:{ID_WORDS})[^\w\n]{{0,6}}$", re.I)
 _NOT_BEFORE = re.compile(rf"\b(?:{NOT_A_NUMBER})[^\w\n]{{0,3}}$", re.I)
 _NEVER = re.compile(rf"(?:{NEVER_NAMES})\b")
+_PRODUCT = re.compile(rf"(?:{PRODUCT_NAMES})\b")
 _DIGITS = re.compile(r"\D")
 _SPACE = re.compile(r"\s")
 
@@ -196,6 +199,8 @@ def _name_score(text: str, start: int, end: int, given: frozenset[str], anchors:
     before, after = text[max(0, start - 30) : start], text[end : end + 26]
     score += max([s for p, s in _BEFORE if p.search(before)], default=0.0)
     score += max([s for p, s in _AFTER if p.match(after)], default=0.0)
+    if not score and _PRODUCT.match(found):
+        score -= PRODUCT_PENALTY
     if any(re.fullmatch(_INITIAL, w) for w in words):
         score += 0.6
     opens, closes = _LINE_START.search(before) or start == 0, _LINE_END.match(after)

@@ -203,6 +203,25 @@ def test_personal_items(text, kind, want):
     assert {text[s:e] for s, e, k in pii.find_items(text, frozenset()) if k == kind} == want
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Ask Mr. Mark Johnson.", {"Mark Johnson"}),
+        ("Dear April Smith,", {"April Smith"}),
+        ("Assigned to: Mark van Dijk.", {"Mark van Dijk"}),
+        ("Regards,\nMark Johnson\n+31 20 123 4567", {"Mark Johnson"}),
+        ("Dear Rose Lantern,", {"Rose Lantern"}),
+        ("Mark the April report as draft.", set()),
+        ("The Rose Lantern range and the Olive Harbour line sell well.", set()),
+        ("Rose Lantern\n+31 20 123 4567", set()),
+    ],
+)
+def test_names_that_are_words_too(text, want):
+    assert {text[s:e] for s, e, k in pii.find_items(text, frozenset()) if k == "name"} == want
+    if want:
+        assert "[NAME]" in pii.redact(text, frozenset())
+
+
 def test_validators_and_tables(spark):
     assert pii.luhn("79927398713") and not pii.luhn("79927398710")
     assert pii.spanish("12345678Z") and not pii.spanish("12345678A")
