@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,15 +85,16 @@ def propagate_status(edges: DataFrame, seeds: DataFrame, most_rounds: int = 200)
     return best
 
 
-def levels(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
-    """(node, level): the least number of links from any start, up to `depth`."""
+def levels(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:
+    """(node, level): the least number of links from any start, up to `depth`; without it, of every node that a start leads to."""
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     edges = materialise(edges)
     seen = materialise(starts.select("node").where("node IS NOT NULL").distinct().withColumn("level", F.lit(0)))
     front = seen
-    for level in range(1, depth + 1):
+    for level in count(1) if depth is None else range(1, depth + 1):
         step = edges.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
         front = materialise(step.join(seen, "node", "left_anti").withColumn("level", F.lit(level)))
         if front.isEmpty():
             break
-        seen = materialise(seen.unionByName(front))
+        seen = materialise(seen.unionByName(front).coalesce(parts))  # else each level adds partitions
     return seen

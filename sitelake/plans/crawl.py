@@ -386,7 +386,7 @@ def status_propagation(spark, root):
     return graph.propagate_status(_edges(spark, root), seeds)
 
 
-_DEPTH = 5
+_DEPTH = 5  # of the SQL; the query has no bound, so rows of deeper nodes are only in the query
 
 
 @query(
@@ -397,7 +397,7 @@ _DEPTH = 5
 )
 def bfs_levels(spark, root):
     starts = table(spark, root, "project", "start_url").select(urls.without_end_slash(F.col("start_url")).alias("node"))
-    return graph.levels(_edges(spark, root), starts, _DEPTH)
+    return graph.levels(_edges(spark, root), starts)
 
 
 # HTML: tested on fixtures, as SQL has no parser

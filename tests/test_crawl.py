@@ -70,6 +70,14 @@ def test_graph_fixture(spark):
     assert {tuple(r) for r in graph.levels(edges, seeds.select("node"), 3).collect()} == {("a", 0), ("x", 0), ("b", 1), ("y", 1), ("d", 2)}
 
 
+def test_levels_have_no_bound(spark, tmp_path):
+    links = [(f"http://s/{i}", f"http://s/{i + 1}/", 0) for i in range(9)] + [("http://s/9", "http://s/0", 0), ("http://t/0", "http://t/1", 0)]
+    spark.createDataFrame(links, "source_url string, target_url string, is_external int").write.parquet(str(tmp_path / "links.parquet"))
+    spark.createDataFrame([("http://s/0/",), (None,)], "start_url string").write.parquet(str(tmp_path / "project.parquet"))
+    got = {tuple(r) for r in plans.queries()["bfs_levels"](spark, str(tmp_path)).collect()}
+    assert got == {(f"http://s/{i}", i) for i in range(10)}
+
+
 def test_components(spark):
     pairs = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (7, 7), (50, None), (200, 200)]
     got = dict(tuple(r) for r in components.connected_components(spark.createDataFrame(pairs, "a long, b long")).collect())
