@@ -8,20 +8,21 @@ from pyspark.sql import functions as F
 from sitelake.sources.tables import materialise
 
 
-def connected_components(pairs: DataFrame, most_rounds: int = 50) -> DataFrame:
+def connected_components(pairs: DataFrame) -> DataFrame:
     """(node, component) for each node of (a, b): component is the least node that is connected with it.
 
     Large-star / small-star: each round links every node's neighbours to the least
     of them, so long chains shrink by a factor a round and a node with many
     neighbours needs no row per pair of them. Null ends are left out; repeated
-    pairs and self-loops change nothing.
+    pairs and self-loops change nothing. It ends when a round leaves all links as they
+    were.
     """
     first = pairs.columns
     edges = pairs.select(F.col(first[0]).alias("a"), F.col(first[1]).alias("b")).where("a is not null and b is not null")
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     edges = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = None
-    for _ in range(most_rounds):
+    while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -66,23 +66,23 @@ def status_seeds(pages: DataFrame, requests: DataFrame) -> DataFrame:
     return both.where("status > 0").groupBy("node").agg(F.max("status").cast("int").alias("status"))
 
 
-def propagate_status(edges: DataFrame, seeds: DataFrame, most_rounds: int = 200) -> DataFrame:
+def propagate_status(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """(node, status): the greatest status among the seeds that a node can be reached from, itself included.
 
-    Each round only the nodes whose status rose send it on.
+    Each round only the nodes whose status rose send it on; as statuses only rise
+    to one of the seeds', the rounds end.
     """
     edges = materialise(edges)
     best = materialise(seeds.select("node", "status"))
     risen = best
-    for _ in range(most_rounds):
+    while True:
         sent = edges.join(risen.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("status").alias("sent"))
         risen = materialise(
             sent.join(best, "node", "left").where("status IS NULL OR sent > status").select("node", F.col("sent").alias("status"))
         )
         if risen.isEmpty():
-            break
+            return best
         best = materialise(best.unionByName(risen).groupBy("node").agg(F.max("status").alias("status")))
-    return best
 
 
 def levels(edges: DataFrame, starts: DataFrame, depth: int | None = None) -> DataFrame:

@@ -70,6 +70,14 @@ def test_graph_fixture(spark):
     assert {tuple(r) for r in graph.levels(edges, seeds.select("node"), 3).collect()} == {("a", 0), ("x", 0), ("b", 1), ("y", 1), ("d", 2)}
 
 
+def test_status_travels_any_distance(spark, monkeypatch):
+    # rows kept in memory: a checkpoint a round would take minutes
+    monkeypatch.setattr(graph, "materialise", lambda df: spark.createDataFrame(df.collect(), df.schema))
+    edges = spark.createDataFrame([(i, i + 1) for i in range(205)], "src int, dst int").coalesce(1)
+    seeds = spark.createDataFrame([(0, 404), (150, 200)], "node int, status int")
+    assert {tuple(r) for r in graph.propagate_status(edges, seeds).collect()} == {(i, 404) for i in range(206)}
+
+
 def test_levels_have_no_bound(spark, tmp_path):
     links = [(f"http://s/{i}", f"http://s/{i + 1}/", 0) for i in range(9)] + [("http://s/9", "http://s/0", 0), ("http://t/0", "http://t/1", 0)]
     spark.createDataFrame(links, "source_url string, target_url string, is_external int").write.parquet(str(tmp_path / "links.parquet"))
