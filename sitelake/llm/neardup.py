@@ -136,6 +136,8 @@ def fingerprint_table(texts: DataFrame, words: int) -> DataFrame:
             for batch in _sliced(whole, 1):
                 text_of, hashes = shingle_hashes(batch.column(1), words)
                 present, compact = np.unique(text_of, return_inverse=True)
+                if not len(present):
+                    continue
                 prints = fingerprints(compact, hashes, len(present))
                 sketch = _sketch(prints).view(np.int64)
                 blocks = pa.FixedSizeListArray.from_arrays(pa.array(_blocks(prints).view(np.int64).ravel()), BLOCKS).cast(pa.list_(pa.int64()))

@@ -53,6 +53,11 @@ def p4_groups(spark, root):
     return neardup.near_groups(_body_texts(spark, root)).withColumnRenamed("id", "page_id")
 
 
+def p4_content_groups(spark, root):
+    """As p4_groups, over whole pages.content; body_text holds the first 5,000 characters only."""
+    return neardup.near_groups(_contents(spark, root)).withColumnRenamed("id", "page_id")
+
+
 def _url_fields(spark, root):
     return {
         "links.target_url": read_table(spark, root, "links", "target_url"),
@@ -99,6 +104,7 @@ QUERIES = {
     "p3_restored": p3_restored,
     "p4_found": p4_found,
     "p4_groups": p4_groups,
+    "p4_content_groups": p4_content_groups,
     "p5_found": p5_found,
     "p5_texts": p5_texts,
     "p7_found": p7_found,

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sitelake.llm import canonical, encoding, main_content, neardup, packing, pii, quantiles, tokenize
+from sitelake.llm import canonical, encoding, main_content, neardup, packing, pii, quantiles, queries, tokenize
 
 WORDS = ["the", " page", " naïve", "  ", "\n\n", "\r\n", "don't", " 12345", "<|endoftext|>", "漢字", "👩‍🔧", " ", "=====", "a" * 300]
 
@@ -120,6 +120,15 @@ def test_near_pairs_against_brute_force(spark):
 
 
 # canonical forms
+def test_groups_of_whole_contents(spark, tmp_path):
+    text = lambda seed, n: " ".join(random.Random(seed).choices([f"w{i}" for i in range(500)], k=n))
+    start = text(1, 1500)
+    rows = [(1, f"{start} {text(2, 6000)}"), (2, f"{start} {text(3, 6000)}"), (3, f"{text(4, 300)} {start} {text(2, 6000)}"), (4, None), (5, "")]
+    spark.createDataFrame(rows, "id long, content string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r["group_id"] for r in queries.QUERIES["p4_content_groups"](spark, str(tmp_path)).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 5: 5}
+
+
 def test_spellings(spark):
     urls = ["http://A.b/x?b=2&a=1", "http://a.b/X?a=1&b=2", " http://a-b/x?&a=1&&b=2", "http://a.b/x?a=1&a=1&b=2", "http://a.b/x", "http://a.b/x?", "", "  ", None, "http://a.b/x", "é?Ü", "É?ü", "a?b?c", "a?bc"]
     df = spark.createDataFrame([(u,) for u in urls], "url string")
