@@ -53,6 +53,49 @@ def is_relative(url: Column) -> Column:
     return (F.regexp_extract(url, PARTS, 1) == "") & (F.regexp_extract(url, PARTS, 2) == "")
 
 
+#: scheme, authority, path, query and fragment; a scheme begins with a letter.
+_SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?:(//)([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
+
+
+def joined(base: Column, reference: Column) -> Column:
+    """`reference` resolved against `base`: dot segments are removed, an empty reference gives the base.
+
+    A reference with another scheme stays as it is. White space around and line
+    ends within either are ignored; null where either is null.
+    """
+    tidy = lambda u: F.regexp_replace(F.regexp_replace(u, r"^[\x00- ]+|[\x00- ]+$", ""), r"[\t\r\n]", "")
+    whole, b = tidy(reference), tidy(base)
+    part = lambda u, i: F.regexp_extract(u, _SPLIT, i)
+    path, query, fragment = part(whole, 4), part(whole, 5), part(whole, 6)
+    b_scheme, b_path = F.lower(part(b, 1)), part(b, 4)
+    other = (part(whole, 1) != "") & (F.lower(part(whole, 1)) != b_scheme)
+    folder = F.regexp_replace(b_path, "[^/]+$", "")
+    split = F.when(F.startswith(path, F.lit("/")), F.split(path, "/")).otherwise(_between_filled(F.split(F.concat(folder, F.lit("/"), path), "/")))
+    walk = lambda kept, s: F.when(s == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).when(s == ".", kept).otherwise(F.concat(kept, F.array(s)))
+    steps = F.aggregate(split, F.array().cast("array<string>"), walk)
+    steps = F.when(F.element_at(split, -1).isin(".", ".."), F.concat(steps, F.array(F.lit("")))).otherwise(steps)
+    resolved = F.coalesce(F.nullif(F.array_join(steps, "/"), F.lit("")), F.lit("/"))
+    own = (part(whole, 2) != "") & (part(whole, 3) != "")
+    host = F.when(own, part(whole, 3)).otherwise(part(b, 3))
+    full = F.when(own, path).when(path == "", b_path).otherwise(resolved)
+    full = F.when((host != "") & (full != "") & ~F.startswith(full, F.lit("/")), F.concat(F.lit("/"), full)).otherwise(full)
+    asked = F.when(~own & (path == "") & (query == ""), part(b, 5)).otherwise(query)
+    made = F.concat(
+        F.when(b_scheme != "", F.concat(b_scheme, F.lit(":"))).otherwise(""),
+        F.when(host != "", F.concat(F.lit("//"), host)).otherwise(""),
+        full,
+        F.when(asked != "", F.concat(F.lit("?"), asked)).otherwise(""),
+        F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
+    )
+    return F.when(base.isNull() | reference.isNull(), F.lit(None).cast("string")).when(whole == "", base).when(b == "", reference).when(other, reference).otherwise(made)
+
+
+def _between_filled(parts: Column) -> Column:
+    """The parts without empty ones between the first and the last."""
+    last = F.size(parts) - 1
+    return F.filter(parts, lambda s, i: (s != "") | (i == 0) | (i == last))
+
+
 def extension(url: Column) -> Column:
     return F.lower(F.regexp_extract(path(url), r"[^/.](\.[^./]*)$", 1))
 

@@ -20,13 +20,18 @@ def edges_of(links: DataFrame) -> DataFrame:
     )
 
 
+class NotConverged(RuntimeError):
+    """An iteration reached its most rounds before its result was stable."""
+
+
 def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, tolerance: float | None = 1e-6) -> DataFrame:
     """(node, rank) by power iteration; the rank of nodes without links is spread evenly.
 
-    Stops when the ranks change by less than nodes * tolerance in all, or after
-    `rounds`; tolerance None always takes `rounds`. An empty graph gives no row.
+    Stops when the ranks change by less than nodes * tolerance in all; where they
+    still change by more after `rounds`, it raises NotConverged. tolerance None
+    always takes `rounds`. An empty graph gives no row.
     """
-    edges = materialise(edges.repartition("src"))
+    edges = materialise(edges)
     degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
     nodes = materialise(nodes.join(degree.withColumnRenamed("src", "node"), "node", "left"))
@@ -34,7 +39,7 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, toleran
     if not n:
         return nodes.select("node", F.lit(0.0).alias("rank"))
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))
-    for i in range(rounds):
+    for _ in range(rounds):
         loose = ranks.where("degree IS NULL").agg(F.sum("rank").alias("r")).first()["r"] or 0.0
         passed = (
             edges.join(ranks.where("degree IS NOT NULL").select(F.col("node").alias("src"), (F.col("rank") / F.col("degree")).alias("part")), "src")
@@ -48,6 +53,9 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, toleran
         ranks = after.drop("before")
         if tolerance is not None and moved < n * tolerance:
             break
+    else:
+        if tolerance is not None:
+            raise NotConverged(f"the ranks still change by {moved} after {rounds} rounds")
     return ranks.select("node", "rank")
 
 

@@ -185,25 +185,12 @@ def elements(facts: DataFrame) -> DataFrame:
     )
 
 
-def _joined(base: Column, ref: Column) -> Column:
-    """`ref` resolved against `base` for absolute, scheme-relative, root-relative and relative references."""
-    root = F.regexp_extract(base, "^[^:/?#]+://[^/?#]*", 0)
-    folder = F.concat(root, F.regexp_extract(F.concat(urls.path(base), F.lit("/")), "^/?(?:[^/]*/)*(?=[^/]*/?$)|^/", 0))
-    return (
-        F.when(ref.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
-        .when(F.startswith(ref, F.lit("//")), F.concat(F.regexp_extract(base, "^[^:/?#]+:", 0), ref))
-        .when(F.startswith(ref, F.lit("/")), F.concat(root, ref))
-        .when(F.startswith(ref, F.lit("?")), F.concat(urls.without_query(base), ref))
-        .otherwise(F.concat(F.regexp_replace(folder, "/?$", "/"), ref))
-    )
-
-
 def anchors(facts: DataFrame) -> DataFrame:
     """(page_id, source_url, target_url, anchor, rel, is_external): the links of each page that can be followed, fragments dropped."""
     href = F.trim("a.attrs.href")
     rows = facts.select("page_id", F.col("url").alias("source_url"), F.explode("anchors").alias("a"))
     kept = rows.where(href.isNotNull() & (href != "") & ~href.rlike(r"(?i)^(?:#|mailto:|tel:|javascript:)"))
-    target = urls.without_fragment(_joined(F.col("source_url"), href))
+    target = urls.without_fragment(urls.joined(F.col("source_url"), href))
     out = kept.select("page_id", "source_url", target.alias("target_url"), F.col("a.text").alias("anchor"), F.col("a.attrs.rel").alias("rel"))
     return out.where(urls.has_page_extension(F.col("target_url"))).withColumn("is_external", (urls.host(F.col("source_url")) != urls.host(F.col("target_url"))).cast("int"))
 
@@ -215,7 +202,7 @@ def images(facts: DataFrame) -> DataFrame:
     source = F.coalesce(F.nullif(F.trim(F.col("i")["src"]), F.lit("")), F.nullif(F.trim(F.col("i")["data-src"]), F.lit("")), F.nullif(first, F.lit("")))
     whole = lambda c: F.regexp_replace(F.col("i")[c], "[^0-9]", "").try_cast("int").alias(c)
     found = rows.withColumn("s", source).where(F.col("s").isNotNull() & ~F.startswith("s", F.lit(PIXEL)))
-    return found.select("page_id", _joined(F.col("url"), F.col("s")).alias("image_url"), F.trim(F.col("i")["alt"]).alias("alt_text"), whole("width"), whole("height"))
+    return found.select("page_id", urls.joined(F.col("url"), F.col("s")).alias("image_url"), F.trim(F.col("i")["alt"]).alias("alt_text"), whole("width"), whole("height"))
 
 
 def page_type() -> Column:
@@ -242,8 +229,9 @@ def _issue(when: Column, code: str, element: str, severity: str, category: str,
 def issues(facts: DataFrame, statuses: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """(page_id, url, issue_code, element_type, severity, category, message): every rule that a page breaks.
 
-    Head rules apply to pages with a head. statuses: (url, status_code), for links
-    to broken pages. strict adds the rule on the missing doctype.
+    Head rules apply to pages with a head. statuses: (id, url, status_code), for
+    links to broken pages; a URL has the status of its row of greatest id. strict
+    adds the rule on the missing doctype.
     """
     title, meta, canonical = F.col("head_title"), _meta("name", "description", True), _canonical(True)
     size, length = F.length(title), F.length(meta)
@@ -284,9 +272,9 @@ def issues(facts: DataFrame, statuses: DataFrame | None = None, strict: bool = F
     href = F.col("a.attrs.href")
     bare = F.trim(href)
     links = facts.select("page_id", "url", F.explode("anchors").alias("a")).where(href.isNotNull())
-    target = urls.without_fragment(_joined(F.col("url"), bare))
+    target = urls.without_fragment(urls.joined(F.col("url"), bare))
     if statuses is not None:
-        known = statuses.groupBy(F.col("url").alias("t")).agg(F.max("status_code").alias("status"))
+        known = statuses.where("url IS NOT NULL").groupBy(F.col("url").alias("t")).agg(F.max_by("status_code", "id").alias("status"))
         links = links.withColumn("t", target).join(known, "t", "left")
     else:
         links = links.withColumn("status", F.lit(None).cast("int"))

@@ -37,8 +37,9 @@ def word_count(text: str) -> Column:
 
 
 def first_ok_request(requests: DataFrame) -> DataFrame:
-    """(url, server_time): elapsed_time of the first request of each URL with status 200."""
-    return requests.where("status_code = 200 AND url IS NOT NULL").groupBy("url").agg(F.min_by("elapsed_time", "id").alias("server_time"))
+    """(url, server_time): elapsed_time of the first request of each URL with status 200; null where it is NaN or negative, hence no time."""
+    first = requests.where("status_code = 200 AND url IS NOT NULL").groupBy("url").agg(F.min_by(F.struct("elapsed_time"), "id")["elapsed_time"].alias("server_time"))
+    return first.withColumn("server_time", F.when(~F.isnan("server_time") & (F.col("server_time") >= 0), F.col("server_time")))
 
 
 def page_metrics(pages: DataFrame, links: DataFrame, requests: DataFrame) -> DataFrame:

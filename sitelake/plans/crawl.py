@@ -123,7 +123,7 @@ _METRICS = r"""
     FROM pages p
     LEFT JOIN (SELECT source_url, count(*) FILTER (is_external = 0) AS internal_links, count(*) FILTER (is_external = 1) AS external_links FROM links GROUP BY source_url) s ON p.url = s.source_url
     LEFT JOIN (SELECT target_url, count(*) AS incoming_links FROM links WHERE is_external = 0 GROUP BY target_url) g ON p.url = g.target_url
-    LEFT JOIN (SELECT url, elapsed_time AS server_time FROM requests WHERE status_code = 200 QUALIFY row_number() OVER (PARTITION BY url ORDER BY id) = 1) r ON p.url = r.url"""
+    LEFT JOIN (SELECT url, CASE WHEN NOT isnan(elapsed_time) AND elapsed_time >= 0 THEN elapsed_time END AS server_time FROM requests WHERE status_code = 200 QUALIFY row_number() OVER (PARTITION BY url ORDER BY id) = 1) r ON p.url = r.url"""
 
 
 @query(_METRICS)
@@ -132,7 +132,7 @@ def page_metrics(spark, root):
     return reports.page_metrics(table(spark, root, "pages", "id", "url", "content"), links, table(spark, root, "requests", "id", "url", "status_code", "elapsed_time"))
 
 
-@query("SELECT url, elapsed_time AS server_time FROM requests WHERE status_code = 200 AND url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY id) = 1")
+@query("SELECT url, CASE WHEN NOT isnan(elapsed_time) AND elapsed_time >= 0 THEN elapsed_time END AS server_time FROM requests WHERE status_code = 200 AND url IS NOT NULL QUALIFY row_number() OVER (PARTITION BY url ORDER BY id) = 1")
 def server_time_first(spark, root):
     return reports.first_ok_request(table(spark, root, "requests", "id", "url", "status_code", "elapsed_time"))
 
@@ -427,7 +427,7 @@ def html_page_types(spark, root):
 
 @query()
 def audit_issues_found(spark, root):
-    return html.issues(_facts(spark, root), table(spark, root, "requests", "url", "status_code"))
+    return html.issues(_facts(spark, root), table(spark, root, "requests", "id", "url", "status_code"))
 
 
 @query()

@@ -24,9 +24,11 @@ def last_wins(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> Da
     return fresh.unionByName(old.alias("o").join(fresh.select(*keys).alias("n"), same, "left_anti"), allowMissingColumns=True)
 
 
-def append_distinct(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Both tables with one row a key."""
-    return old.unionByName(new, allowMissingColumns=True).dropDuplicates(keys)
+def append_distinct(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Both tables with one row a key: that of `old` before that of `new`, then that of least `order`."""
+    both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
+    names = [c for c in both.columns if c != "__new"]
+    return both.groupBy(*keys).agg(F.min_by(F.struct(*names), F.struct("__new", order)).alias("r")).select("r.*")
 
 
 def truncated(df: DataFrame) -> DataFrame:

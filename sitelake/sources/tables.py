@@ -17,14 +17,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder.
 
     The folder that the cluster names in spark.checkpoint.dir wins. Only where
-    neither that setting nor a checkpoint folder exists (tests on one machine)
-    is a folder of our own made.
+    neither that setting nor a checkpoint folder exists is a folder of our own
+    made, and only where everything runs on one machine.
     """
     jsc = spark.sparkContext._jsc.sc()
     current = jsc.getCheckpointDir()
     if current.isDefined():
         return current.get()
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir is not set: a cluster needs a shared folder")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="sitelake-checkpoint-"))
     return jsc.getCheckpointDir().get()
 

@@ -1,13 +1,15 @@
 import glob
 import math
 import os
+from itertools import product
+from urllib.parse import urljoin
 
 import duckdb
 import pytest
 
 from sitelake import plans
 from sitelake.functions import urls
-from sitelake.operators import components, graph, html, ngrams, search
+from sitelake.operators import components, graph, html, ngrams, reports, search
 from pyspark.sql import functions as F
 
 ROOT = "/root/testdata/sf0.001"
@@ -61,6 +63,36 @@ def test_elements_links_and_types(spark):
     assert facts(spark, PAGE).select(html.page_type().alias("t"), html.is_product().alias("p")).first()[:] == ("product", True)
 
 
+def test_joined_like_urljoin(spark):
+    bases = ["https://s.test/dir/p", "https://s.test/dir/", "https://s.test", "https://s.test/", "https://s.test/a/b/c?x=1#f", "HTTP://S.test/a//b/./c", "s.test/x/y"]
+    refs = [
+        "x.html", "../x", "./x", "../../x", "../../../x", "..", ".", "/x", "/a/../b/./c", "//o.test/x", "//o.test", "?q=1", "#f", "x?y#z", "x?", "x#", "https://o.test/A_B", "https:rel",
+        "http://o.test/../x", "mailto:a@b.c", "a//b", "/a//b", "/Up_per//x y", "", ";p", "x;p", "../", "./", "a/b/../../../../c", "1:2", "a/./b/", "?", "/..", "ftp://x/y",
+    ]
+    df = spark.createDataFrame(list(product(bases, refs)), "b string, r string")
+    got = df.select("b", "r", urls.joined(F.col("b"), F.col("r")).alias("u")).collect()
+    assert [r["u"] for r in got] == [urljoin(r["b"], r["r"]) for r in got]
+
+
+def test_links_by_last_status_and_relative_references(spark):
+    text = "<body><h1>x</h1><a href='../gone'>a</a><a href='late#x'>b</a><a href='fine'>c</a>"
+    rows = [(1, "https://www.site.test/gone", 200), (2, "https://www.site.test/gone", 404), (3, "https://www.site.test/dir/late", 500), (4, "https://www.site.test/dir/fine", 500), (5, "https://www.site.test/dir/fine", 200), (6, None, 404)]
+    found = html.issues(facts(spark, text), spark.createDataFrame(rows, "id long, url string, status_code int")).collect()
+    assert sorted(r["issue_code"] for r in found) == ["BROKEN_LINK", "HTTP_ERROR"]
+
+
+def test_times_that_are_none(spark):
+    rows = [(1, "a", 200, float("nan")), (2, "a", 200, 1.0), (3, "b", 200, -1.0), (4, "c", 200, None), (5, "c", 200, 2.0), (6, "d", 404, 1.0), (7, "d", 200, 3.0)]
+    df = spark.createDataFrame(rows, "id long, url string, status_code int, elapsed_time double")
+    assert {r["url"]: r["server_time"] for r in reports.first_ok_request(df).collect()} == {"a": None, "b": None, "c": None, "d": 3.0}
+
+
+def test_ranks_that_do_not_settle(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "b")], "src string, dst string")
+    with pytest.raises(graph.NotConverged):
+        graph.pagerank(edges, rounds=1, tolerance=1e-12)
+
+
 def test_graph_fixture(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "c"), ("b", "d"), ("x", "y")], "src string, dst string")
     ranks = {r["node"]: r["rank"] for r in graph.pagerank(edges).collect()}
