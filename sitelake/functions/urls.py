@@ -64,30 +64,45 @@ def joined(base: Column, reference: Column) -> Column:
     ends within either are ignored; null where either is null.
     """
     tidy = lambda u: F.regexp_replace(F.regexp_replace(u, r"^[\x00- ]+|[\x00- ]+$", ""), r"[\t\r\n]", "")
-    whole, b = tidy(reference), tidy(base)
     part = lambda u, i: F.regexp_extract(u, _SPLIT, i)
-    path, query, fragment = part(whole, 4), part(whole, 5), part(whole, 6)
-    b_scheme, b_path = F.lower(part(b, 1)), part(b, 4)
-    other = (part(whole, 1) != "") & (F.lower(part(whole, 1)) != b_scheme)
-    folder = F.regexp_replace(b_path, "[^/]+$", "")
-    split = F.when(F.startswith(path, F.lit("/")), F.split(path, "/")).otherwise(_between_filled(F.split(F.concat(folder, F.lit("/"), path), "/")))
+    names = ("scheme", "slashes", "host", "path", "query", "fragment")
+    parts = lambda u: F.struct(u.alias("whole"), *[part(u, i).alias(n) for i, n in enumerate(names, 1)])
+    both = _let(F.struct(tidy(base).alias("b"), tidy(reference).alias("r")), lambda t: F.struct(parts(t["b"]).alias("b"), parts(t["r"]).alias("r")))
+    made = _let(both, lambda t: _resolved(t["b"], t["r"]))
+    return F.when(base.isNotNull() & reference.isNotNull(), made)
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _resolved(b: Column, r: Column) -> Column:
+    folder = F.regexp_replace(b["path"], "[^/]+$", "")
+    relative = _let(F.split(F.concat(folder, F.lit("/"), r["path"]), "/"), _between_filled)
+    split = F.when(F.startswith(r["path"], F.lit("/")), F.split(r["path"], "/")).otherwise(relative)
     walk = lambda kept, s: F.when(s == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).when(s == ".", kept).otherwise(F.concat(kept, F.array(s)))
-    steps = F.aggregate(split, F.array().cast("array<string>"), walk)
-    steps = F.when(F.element_at(split, -1).isin(".", ".."), F.concat(steps, F.array(F.lit("")))).otherwise(steps)
-    resolved = F.coalesce(F.nullif(F.array_join(steps, "/"), F.lit("")), F.lit("/"))
-    own = (part(whole, 2) != "") & (part(whole, 3) != "")
-    host = F.when(own, part(whole, 3)).otherwise(part(b, 3))
-    full = F.when(own, path).when(path == "", b_path).otherwise(resolved)
-    full = F.when((host != "") & (full != "") & ~F.startswith(full, F.lit("/")), F.concat(F.lit("/"), full)).otherwise(full)
-    asked = F.when(~own & (path == "") & (query == ""), part(b, 5)).otherwise(query)
-    made = F.concat(
-        F.when(b_scheme != "", F.concat(b_scheme, F.lit(":"))).otherwise(""),
-        F.when(host != "", F.concat(F.lit("//"), host)).otherwise(""),
-        full,
-        F.when(asked != "", F.concat(F.lit("?"), asked)).otherwise(""),
-        F.when(fragment != "", F.concat(F.lit("#"), fragment)).otherwise(""),
+    ends = lambda s: F.when(F.element_at(s, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    walked = _let(split, lambda s: F.array_join(F.concat(F.aggregate(s, F.array().cast("array<string>"), walk), ends(s)), "/"))
+    own = r["slashes"] != ""
+    own = own & (r["host"] != "")
+    path = F.when(own, r["path"]).when(r["path"] == "", b["path"]).otherwise(F.coalesce(F.nullif(walked, F.lit("")), F.lit("/")))
+    query = F.when(~own & (r["path"] == "") & (r["query"] == ""), b["query"]).otherwise(r["query"])
+    ready = F.struct(F.when(own, r["host"]).otherwise(b["host"]).alias("host"), path.alias("path"), query.alias("query"))
+    scheme = F.lower(b["scheme"])
+    made = _let(
+        ready,
+        lambda t: F.concat(
+            F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
+            F.when(t["host"] != "", F.concat(F.lit("//"), t["host"])).otherwise(""),
+            F.when((t["host"] != "") & (t["path"] != "") & ~F.startswith(t["path"], F.lit("/")), "/").otherwise(""),
+            t["path"],
+            F.when(t["query"] != "", F.concat(F.lit("?"), t["query"])).otherwise(""),
+            F.when(r["fragment"] != "", F.concat(F.lit("#"), r["fragment"])).otherwise(""),
+        ),
     )
-    return F.when(base.isNull() | reference.isNull(), F.lit(None).cast("string")).when(whole == "", base).when(b == "", reference).when(other, reference).otherwise(made)
+    other = (r["scheme"] != "") & (F.lower(r["scheme"]) != scheme)
+    return F.when(r["whole"] == "", b["whole"]).when((b["whole"] == "") | other, r["whole"]).otherwise(made)
 
 
 def _between_filled(parts: Column) -> Column:

@@ -1,16 +1,14 @@
-"""Nested text (JSON, Python notation, quoted either way) into flat tables with parent links.
+"""Nested text (JSON, Python notation, quoted any number of times) into flat tables with parent links.
 
-A batch of texts is read into values once; from there the whole batch is
-flattened level by level on Arrow buffers: the children of a level are one list
-array, its offsets give each child's parent index, and record ids and paths are
-taken along that index. No per-record recursion.
+The structural index of notation.py turns the bytes of a whole batch into members
+and containers. From there the batch is flattened level by level on Arrow buffers:
+the children of a level are one list array, its offsets give each child's parent
+index, and record ids and paths are taken along that index. No text is read by
+itself, at no depth.
 """
 
 from __future__ import annotations
 
-import ast
-import json
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,166 +17,143 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_PY_TOKEN = re.compile(
-    r"""'(?P<single>(?:[^'\\]|\\.)*)'|"(?:[^"\\]|\\.)*"|\b(?P<word>True|False|None)\b""", re.S
-)
-_WORDS = {"True": "true", "False": "false", "None": "null"}
-_ESCAPED = re.compile(r"\\(.)", re.S)
+from sitelake.operators import notation
+
 _FOUND = pa.schema([("field", pa.string()), ("record_id", pa.int64()), ("node", pa.string())])
-_NODES = pa.schema(
-    [
-        ("field", pa.string()),
-        ("record_id", pa.int64()),
-        ("node", pa.string()),
-        ("parent", pa.string()),
-        ("key", pa.string()),
-        ("kind", pa.string()),
-        ("value", pa.string()),
-    ]
+_NODES = pa.schema([("field", pa.string()), ("record_id", pa.int64()), ("node", pa.string()), ("parent", pa.string()), ("key", pa.string()), ("kind", pa.string()), ("value", pa.string())])
+_OBJECTS = pa.schema(
+    [("field", pa.string()), ("record_id", pa.int64()), ("node", pa.string()), ("parent", pa.string()), ("shape", pa.string()), ("position", pa.int32()), ("members", pa.map_(pa.string(), pa.string()))]
 )
-_SIMPLE_ESCAPES = set("nrtbf\\/")
-
-
-def _json_string(m: re.Match) -> str:
-    word = m.group("word")
-    if word:
-        return _WORDS[word]
-    body = m.group("single")
-    if body is None:
-        return m.group(0)
-    if "\\" in body:
-        body = _ESCAPED.sub(lambda e: "'" if e.group(1) == "'" else e.group(0), body)
-    return '"' + body.replace('\\"', '"').replace('"', '\\"') + '"'
-
-
-def read_value(text: str | None):
-    """The value that `text` writes in JSON or Python notation, quoted once or more; None where it is no complete value.
-
-    Nesting deeper than the interpreter's recursion limit counts as no value.
-    """
-    for _ in range(8):  # each turn removes one level of quotes
-        if text is None:
-            return None
-        try:
-            value = json.loads(text)
-        except (ValueError, RecursionError):
-            value = _read_python(text)
-        if not isinstance(value, str):
-            return value
-        text = value
-    return None
-
-
-def _read_python(text: str):
-    if "'" in text or "True" in text or "False" in text or "None" in text:
-        try:
-            return json.loads(_PY_TOKEN.sub(_json_string, text))
-        except (ValueError, RecursionError):
-            pass
-    try:
-        value = ast.literal_eval(text.strip())
-    except (ValueError, SyntaxError, MemoryError, RecursionError, TypeError):
-        return None
-    return value if isinstance(value, (dict, list, str)) else list(value) if isinstance(value, tuple) else None
-
-
-def _text(key) -> str:
-    return str(key).encode("utf-8", "replace").decode("utf-8")
-
-
-def _strings(keys: list) -> pa.Array:
-    try:
-        return pa.array(keys, pa.string())
-    except (pa.ArrowInvalid, pa.ArrowTypeError, UnicodeEncodeError):
-        return pa.array([_text(k) for k in keys], pa.string())
-
-
-def _scalar(value) -> str | None:
-    if value is None:
-        return None
-    return _text(value) if isinstance(value, str) else json.dumps(value, default=str)
-
-
-def _kind(value) -> str:
-    return "object" if isinstance(value, dict) else "array" if isinstance(value, (list, tuple)) else "null" if value is None else "scalar"
-
-
-def flatten_batch(field: str, ids: pa.Array, texts: pa.Array, every_node: bool) -> Iterator[pa.RecordBatch]:
-    """The nodes of a batch, a record batch per level."""
-    values, rows = [], []
-    for row, text in enumerate(texts.to_pylist()):
-        value = read_value(text)
-        if isinstance(value, (dict, list)):
-            values.append(value)
-            rows.append(row)
-    record = ids.take(pa.array(rows, pa.int64()))
-    path = None  # the root's
-    while values:
-        lengths = np.fromiter(map(len, values), np.int32, len(values))
-        keys, kids = [], []
-        for v in values:
-            if isinstance(v, dict):
-                keys.extend(v)
-                kids.extend(v.values())
-            else:
-                keys.extend(map(str, range(len(v))))
-                kids.extend(v)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32))
-        children = pa.ListArray.from_arrays(offsets, pa.array(np.arange(len(kids), dtype=np.int64)))
-        parent = pc.list_parent_indices(children)
-        in_array = np.fromiter((not isinstance(v, dict) for v in values), bool, len(values))[parent.to_numpy()]
-        deeper = np.fromiter((isinstance(k, (dict, list, tuple)) for k in kids), bool, len(kids))
-        if not every_node:  # only what can hold or be an array's object goes on
-            kept = np.flatnonzero(deeper)
-            parent = parent.take(pa.array(kept))
-            keys, kids, in_array, deeper = [keys[i] for i in kept], [kids[i] for i in kept], in_array[kept], deeper[kept]
-        key = _strings(keys)
+_DDL = {
+    "found": "field string, record_id long, node string",
+    "nodes": "field string, record_id long, node string, parent string, key string, kind string, value string",
+    "objects": "field string, record_id long, node string, parent string, shape string, position int, members map<string,string>",
+}
+_KINDS = pa.array(["scalar", "null", "object", "array"])
+#: Bytes of text that are indexed at a time, unless one text is longer.
+SLICE_BYTES = 4_000_000
+
+
+def flatten_batch(field: str, ids: pa.Array, texts: pa.Array, form: str = "found") -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in one of the forms found, nodes, objects; a record batch per level."""
+    data, offsets = notation.buffer_of(texts)
+    rows = np.arange(len(texts))
+    while len(rows):
+        members, (data, offsets, quoted) = notation.read(data, offsets)
+        yield from _levels(field, ids.take(pa.array(rows)), members, form)
+        rows = rows[quoted]
+
+
+def _last_of_each_key(members: notation.Members, at: np.ndarray, parent: np.ndarray, keys: pa.Array) -> np.ndarray:
+    """Which of the members `at` are the last of their key in their object."""
+    code = keys.dictionary_encode()
+    pair = parent * len(code.dictionary) + code.indices.to_numpy()
+    if pc.count_distinct(pa.array(pair)).as_py() == len(pair):
+        return np.ones(len(at), bool)
+    _, last = np.unique(pair[::-1], return_index=True)
+    kept = np.zeros(len(at), bool)
+    kept[len(at) - 1 - last] = True
+    return kept | members.in_array[at]
+
+
+def _levels(field: str, ids: pa.Array, m: notation.Members, form: str) -> Iterator[pa.RecordBatch]:
+    ends = np.searchsorted(m.level, np.arange(1, m.level.max(initial=0) + 2))
+    holders = np.arange(ends[0])  # members of the level above that are containers
+    record, path, shape = ids.take(pa.array(m.row[holders])), None, None
+    if form == "objects":
+        plain = np.flatnonzero(~m.is_array[holders])
+        yield _objects(field, m, holders[plain], record.take(pa.array(plain)), None, None, None)
+    index = np.full(len(m.row) + 1, -1)
+    for start, end in zip(ends[:-1], ends[1:]):
+        index[holders] = np.arange(len(holders))
+        children = np.arange(start, end)
+        home = index[m.parent[children]]
+        index[holders] = -1
+        children, home = children[home >= 0], home[home >= 0]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(home, minlength=len(holders)))]).astype(np.int32)), pa.array(children))
+        parent, at = pc.list_parent_indices(lists).to_numpy(), lists.flatten().to_numpy()
+        keys = m.keys(at)
+        kept = np.flatnonzero(_last_of_each_key(m, at, parent, keys) & (m.container[at] | (form == "nodes")))
+        at, parent, keys = at[kept], pa.array(parent[kept]), keys.take(pa.array(kept))
         record = record.take(parent)
         above = path.take(parent) if path is not None else None
-        path = pc.binary_join_element_wise(above, key, "/") if above is not None else key
-        if every_node:
-            yield pa.record_batch(
-                [
-                    pa.array([field] * len(kids), pa.string()),
-                    record,
-                    path,
-                    above if above is not None else pa.array([""] * len(kids), pa.string()),
-                    key,
-                    pa.array([_kind(k) for k in kids], pa.string()),
-                    pa.array([None if d else _scalar(k) for k, d in zip(kids, deeper)], pa.string()),
-                ],
-                schema=_NODES,
-            )
+        path = pc.binary_join_element_wise(above, keys, "/") if above is not None else keys
+        if form == "objects":
+            step = pc.if_else(pa.array(m.in_array[at]), "*", keys)
+            shape = pc.binary_join_element_wise(shape.take(parent), step, "/") if shape is not None else step
+        if form == "nodes":
+            values, null = m.values(at)
+            kind = np.where(m.container[at], 2 + m.is_array[at], null.astype(np.int64))
+            root = above if above is not None else pa.array([""] * len(at), pa.string())
+            yield pa.record_batch([pa.array([field] * len(at), pa.string()), record, path, root, keys, _KINDS.take(pa.array(kind)), values], schema=_NODES)
         else:
-            found = pa.array(np.flatnonzero(in_array & np.fromiter((isinstance(k, dict) for k in kids), bool, len(kids))))
-            yield pa.record_batch([pa.array([field] * len(found), pa.string()), record.take(found), path.take(found)], schema=_FOUND)
-        at = np.flatnonzero(deeper)
-        record, path = record.take(pa.array(at)), path.take(pa.array(at))
-        values = [kids[i] for i in at]
-
-
-def flatten_nested(df: DataFrame, id_column: str, fields: dict[str, str], every_node: bool = False) -> DataFrame:
+            plain = np.flatnonzero(m.container[at] & ~m.is_array[at] & (m.in_array[at] | (form == "objects")))
+            chosen = pa.array(plain)
+            if form == "found":
+                yield pa.record_batch([pa.array([field] * len(plain), pa.string()), record.take(chosen), path.take(chosen)], schema=_FOUND)
+            else:
+                yield _objects(field, m, at[plain], record.take(chosen), path.take(chosen), above.take(chosen) if above is not None else None, shape.take(chosen))
+        deeper = np.flatnonzero(m.container[at])
+        holders, record, path = at[deeper], record.take(pa.array(deeper)), path.take(pa.array(deeper))
+        shape = shape.take(pa.array(deeper)) if shape is not None else None
+        if not len(holders):
+            return
+
+
+def _objects(field: str, m: notation.Members, at: np.ndarray, record: pa.Array, path: pa.Array | None, above: pa.Array | None, shape: pa.Array | None) -> pa.RecordBatch:
+    """One row for each object, with its scalar members."""
+    empty = pa.array([""] * len(at), pa.string())
+    index = np.full(len(m.row) + 1, -1)
+    index[at] = np.arange(len(at))
+    kids = np.flatnonzero(index[m.parent] >= 0)
+    kids = kids[~m.container[kids]]
+    keys = m.keys(kids)
+    # a scalar whose key comes again, as a scalar or not, gives way to the later one
+    every = np.flatnonzero(index[m.parent] >= 0)
+    last = every[_last_of_each_key(m, every, index[m.parent[every]], m.keys(every))]
+    chosen = np.flatnonzero(np.isin(kids, last, assume_unique=True))
+    kids, keys = kids[chosen], keys.take(pa.array(chosen))
+    counts = np.bincount(index[m.parent[kids]], minlength=len(at))
+    offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+    members = pa.MapArray.from_arrays(offsets, keys, m.values(kids)[0])
+    position = pa.array(np.where(m.in_array[at], m.position[at], 0).astype(np.int32), mask=~m.in_array[at])
+    node = empty if path is None else path
+    return pa.record_batch([pa.array([field] * len(at), pa.string()), record, node, empty if above is None else above, empty if shape is None else shape, position, members], schema=_OBJECTS)
+
+
+def _slices(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[pa.Array, pa.Array]]:
+    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + SLICE_BYTES, side="right")))
+        yield ids.slice(start, end - start), texts.slice(start, end - start)
+        start = end
+
+
+def flatten_nested(df: DataFrame, id_column: str, fields: dict[str, str], form: str = "found") -> DataFrame:
     """Flat rows of the nested texts of `df`.
 
-    fields: column -> name of the field in the result. With every_node, one row
-    (field, record_id, node, parent, key, kind, value) for each member of each
-    object and array; node is the path from the root, parent the path of the
-    object or array that holds it ('' is the root), kind object, array, scalar
-    or null, value the scalar as text. Else (field, record_id, node) of the
-    objects that are elements of arrays.
-
-    Null, blank, broken and scalar texts give no row. A key that repeats within
-    an object counts once, with its last value. A record id that repeats gives
-    its rows each time. Rows without an id have a null record_id.
+    fields: column -> name of the field in the result. Forms:
+
+    * found: (field, record_id, node) of the objects that are elements of arrays;
+    * nodes: (field, record_id, node, parent, key, kind, value), one row for each
+      member of each object and array; kind is object, array, scalar or null,
+      value the scalar as it is written, strings without quotes and escapes;
+    * objects: (field, record_id, node, parent, shape, position, members), one row
+      for each object, the outermost too, with its scalar members as a map. shape
+      is the path with '*' for each position: the rows of one shape are one flat
+      table, and parent leads to the row that holds it.
+
+    node is the path from the root, parent that of the object or array that holds
+    it; '' is the root. Null, blank, broken and scalar texts give no row; quoting
+    is undone however often it was done, nesting may have any depth. A key that
+    repeats within an object counts once, with its last value. A record id that
+    repeats gives its rows each time. Rows without an id have a null record_id.
     """
-    need = "[" if not every_node else None
-    columns = [
-        (F.when(F.instr(c, "[").__gt__(0) & F.instr(c, "{").__gt__(0), F.col(c)) if need else F.col(c)).alias(f"t{i}")
-        for i, c in enumerate(fields)
-    ]
-    narrow = df.select(F.col(id_column).cast("long").alias("record_id"), *columns).where(
-        F.coalesce(*[f"t{i}" for i in range(len(fields))]).isNotNull()
-    )
+    holds = lambda c: (F.instr(c, "[") > 0) | (F.instr(c, "{") > 0) | (F.instr(c, "(") > 0)
+    listed = lambda c: ((F.instr(c, "[") > 0) | (F.instr(c, "(") > 0)) & (F.instr(c, "{") > 0)
+    columns = [F.when(listed(c) if form == "found" else holds(c), F.col(c)).alias(f"t{i}") for i, c in enumerate(fields)]
+    narrow = df.select(F.col(id_column).cast("long").alias("record_id"), *columns).where(F.coalesce(*[f"t{i}" for i in range(len(fields))]).isNotNull())
     names = list(fields.values())
 
     def run(batches):
@@ -187,15 +162,13 @@ def flatten_nested(df: DataFrame, id_column: str, fields: dict[str, str], every_
             for i, name in enumerate(names):
                 texts = batch.column(i + 1)
                 present = pc.is_valid(texts)
-                yield from flatten_batch(name, ids.filter(present), texts.filter(present), every_node)
+                for own, part in _slices(ids.filter(present), texts.filter(present)):
+                    yield from flatten_batch(name, own, part, form)
 
-    schema = "field string, record_id long, node string" + (", parent string, key string, kind string, value string" if every_node else "")
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(run, _DDL[form])
 
 
-def nested_fields(requests: DataFrame, audit_issues: DataFrame, every_node: bool = False) -> DataFrame:
+def nested_fields(requests: DataFrame, audit_issues: DataFrame, form: str = "found") -> DataFrame:
     """flatten_nested over the nested fields of both tables."""
     of_requests = {c: f"requests.{c}" for c in ("redirect_chain", "headers", "timers")}
-    return flatten_nested(requests, "id", of_requests, every_node).unionByName(
-        flatten_nested(audit_issues, "id", {"details": "audit_issues.details"}, every_node)
-    )
+    return flatten_nested(requests, "id", of_requests, form).unionByName(flatten_nested(audit_issues, "id", {"details": "audit_issues.details"}, form))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from sitelake.operators import nested, skew
 from sitelake.sources.tables import read_table
 
@@ -20,17 +22,29 @@ def p1_neighbour_counts(spark, root):
     return skew.url_neighbour_counts(read_table(spark, root, "links", *_COLUMNS))
 
 
-def _nested(spark, root, every_node):
+def _nested(spark, root, form):
     requests = read_table(spark, root, "requests", "id", "redirect_chain", "headers", "timers")
-    return nested.nested_fields(requests, read_table(spark, root, "audit_issues", "id", "details"), every_node)
+    return nested.nested_fields(requests, read_table(spark, root, "audit_issues", "id", "details"), form)
 
 
 def p6_found(spark, root):
-    return _nested(spark, root, False)
+    return _nested(spark, root, "found")
 
 
 def p6_nodes(spark, root):
-    return _nested(spark, root, True)
+    return _nested(spark, root, "nodes")
+
+
+def p6_objects(spark, root):
+    return _nested(spark, root, "objects")
+
+
+def p6_redirects(spark, root):
+    """The flat table of requests.redirect_chain: one row for each hop."""
+    hops = nested.flatten_nested(read_table(spark, root, "requests", "id", "redirect_chain"), "id", {"redirect_chain": "redirect_chain"}, "objects")
+    m = lambda k: F.col("members")[k]
+    hop = hops.where("shape = '*'").select(F.col("record_id").alias("request_id"), "position", m("source").alias("source"), m("target").alias("target"), m("status").try_cast("int").alias("status"), m("final_url").alias("final_url"), m("error").alias("error"))
+    return hop
 
 
 QUERIES = {
@@ -39,6 +53,8 @@ QUERIES = {
     "p1_neighbour_counts": p1_neighbour_counts,
     "p6_found": p6_found,
     "p6_nodes": p6_nodes,
+    "p6_objects": p6_objects,
+    "p6_redirects": p6_redirects,
 }
 
 SQL = {
