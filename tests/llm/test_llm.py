@@ -47,12 +47,8 @@ CLEAN = [
 
 @pytest.fixture(scope="module")
 def labeller():
-    counts = {}
     pages = [re.sub(r"\S+", lambda m: m.group() if rng.random() < 0.7 else "x", t) for rng in [random.Random(1)] for t in CLEAN * 60]
-    for page in pages:
-        for b in encoding.page_statistics(page):
-            counts[b] = counts.get(b, 0) + 1
-    return encoding.Labeller(encoding.CharModel(counts, len(pages)))
+    return encoding.Labeller(encoding.CharModel.of_pages(pages))
 
 
 def wrong(text, true, read):
@@ -73,6 +69,59 @@ def test_restores_one_byte_pairs(labeller):
     assert labeller.restore(wrong(CLEAN[3], "cp1251", "cp1252"))[0] == CLEAN[3]
 
 
+def test_labels_characters_within_words(labeller):
+    cases = {
+        "“thÃ©iÃ¨re” là": "“théière” là",
+        "(déjà)cafÃ©;près": "(déjà)café;près",
+        "60Â\xa0€": "60\xa0€",
+        "l’Ã©cole été": "l’école été",
+    }
+    for garbled, right in cases.items():
+        assert labeller.restore(garbled)[0] == right and labeller.garbled(encoding.words_of(garbled))
+    word = "“thÃ©”"
+    (states,) = [labeller.label([word])]
+    assert [(s, c) for _, _, s, c in labeller.spans(word, *states[0]) if s] == [("utf-8 as cp1252", "é")]
+
+
+def test_labels_like_a_search_over_all_paths(labeller):
+    """The path over two words, against every way to label their characters by one state and clean."""
+    def best(words, state):
+        top = 0.0
+        chars = [encoding.pieces(w)[1] for w in words]
+        units = [labeller._units(c).get(state, {}) for c in chars]
+        clean = sum(labeller._clean(x, y) for c in chars for x, y in zip([" ", *c], [*c, " "]))
+
+        def walk(w, i, before, inside, score):
+            nonlocal top
+            if w == len(words):
+                top = max(top, score - clean)
+                return
+            c = chars[w]
+            if i == len(c):
+                walk(w + 1, 0, " ", inside, score + labeller.model.cost(before, " "))
+                return
+            step = encoding.BACK if inside and c[i] >= "\x80" else 0.0
+            if not (inside and c[i] < "\x80"):
+                walk(w, i + 1, c[i], False, score + step + labeller._clean(before, c[i]))
+            if c[i] < "\x80":
+                if inside:
+                    walk(w, i + 1, c[i], True, score + labeller.model.cost(before, c[i]))
+                return
+            enter = encoding.STAY if inside else encoding._leave(state)
+            if i in units[w]:
+                size, becomes = units[w][i]
+                walk(w, i + size, becomes, True, score + enter + labeller.model.cost(before, becomes))
+            elif inside:
+                walk(w, i + 1, c[i], True, score + enter + encoding.NOISE + labeller._clean(before, c[i]))
+
+        walk(0, 0, " ", False, 0.0)
+        return top
+
+    for words in (["thÃ©iÃ¨re", "près"], ["“cafÃ©”", "là"], ["Å‚Ä…ka", "é"], ["près", "été"]):
+        states = {s for w in words for s in labeller._units(encoding.pieces(w)[1])}
+        assert labeller._walk(words)[0] == pytest.approx(max([best(words, s) for s in states], default=0.0), abs=1e-6)
+
+
 def test_encoding_table(spark):
     rows = [(i, t) for i, t in enumerate(CLEAN * 30)] + [(1000, wrong(CLEAN[0], "utf-8", "cp1252")), (1001, "caf� br�l�e"), (1002, None), (1003, ""), (1004, "ascii")]
     df = spark.createDataFrame(rows, "id long, text string").withColumn("states", F.lit(1))
