@@ -77,6 +77,11 @@ def p8_ids(spark, root):
     return tokenize.encode_documents(read_table(spark, root, "documents", "doc_id", "text"))
 
 
+def p8_texts(spark, root):
+    """The round trip: each document's text from its ids."""
+    return tokenize.decode_documents(p8_ids(spark, root))
+
+
 def p9_found(spark, root):
     return packing.split_documents(read_table(spark, root, "documents", "doc_id", "text"))
 
@@ -110,6 +115,7 @@ QUERIES = {
     "p7_found": p7_found,
     "p7_collapsed": p7_collapsed,
     "p8_ids": p8_ids,
+    "p8_texts": p8_texts,
     "p9_found": p9_found,
     "p9_containers": p9_containers,
     "p10_found": p10_found,
@@ -132,6 +138,7 @@ _SPELLINGS = f"""
       UNION ALL SELECT 'pages.url', url, count(*) FROM pages WHERE url IS NOT NULL GROUP BY url)"""
 
 SQL = {
+    "p8_texts": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     "p2_found": f"""
         WITH v AS ({_VALUES}),
         whole AS (SELECT quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95 FROM v WHERE measure = 'elapsed_time'),

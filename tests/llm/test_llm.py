@@ -203,23 +203,58 @@ def bpe():
 def test_streams_like_the_whole(bpe):
     rng = random.Random(2)
     for size in (1, 50, 3000):
-        text = "".join(rng.choice(WORDS) for _ in range(size))
+        text = "".join(rng.choice([*WORDS, "'", "'l", "l", "'re", "\u3000", " \n ", "9" * 5000, " " * 5000, "\n" * 4999 + "x", "é" * 4500, "!" * 9000]) for _ in range(size))
         want = bpe.encoding.encode_ordinary(text)
-        assert list(bpe.encode_stream(text[i : i + 97] for i in range(0, len(text), 97))) == want == bpe.encode(text)
-        assert "".join(bpe.decode_stream(want)) == text
+        for step in (1, 7, 97, 5000) if size < 3000 else (1021,):
+            assert list(bpe.encode_stream(text[i : i + step] for i in range(0, len(text), step))) == want
+        assert bpe.encode(text) == want and "".join(bpe.decode_stream(want)) == text
 
 
 @pytest.mark.parametrize("letters", ["ab", "a", "ingther", "é漢a", "=-"])
 def test_long_pieces(bpe, letters):
     rng = random.Random(4)
-    piece = "".join(rng.choice(letters) for _ in range(5000)).encode()
-    assert list(bpe.encode_piece(piece)) == bpe.encoding._encode_single_piece(piece)
+    piece = "".join(rng.choice(letters) for _ in range(20000)).encode()
+    stream, got = tokenize.PieceStream(bpe), []
+    for i in range(0, len(piece), 777):
+        got += stream.feed(piece[i : i + 777])
+        assert len(stream.last) <= stream.most and stream.base + len(stream.last) == min(len(piece), i + 777)
+    assert got + stream.close() == bpe.encoding._encode_single_piece(piece)
+
+
+def test_memory_does_not_grow(bpe):
+    import tracemalloc
+
+    rng = random.Random(7)
+    part = "".join(rng.choice("abcdefghijklmnopqrst") for _ in range(50_000))
+
+    def most(parts):
+        tracemalloc.start()
+        n = sum(1 for _ in bpe.encode_stream(part for _ in range(parts)))
+        size = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return n, size
+
+    most(2)  # pairs of tokens are kept up to a fixed number
+    (few, small), (many, large) = most(2), most(12)
+    assert many > 5 * few and large < small * 1.5 + 1_000_000
+
+
+def test_lookahead_of_a_merge_list(tmp_path):
+    import base64
+
+    tokens = [bytes([b]) for b in range(256)] + [b"cd", b"bc", b"ab", b"abx"]
+    (tmp_path / "v").write_bytes(b"\n".join(base64.b64encode(t) + b" " + str(i).encode() for i, t in enumerate(tokens)))
+    small = tokenize.ByteBpe(str(tmp_path / "v"))
+    assert small.lookahead == 4  # ab gives way to bc, which gives way to cd
+    assert small.encode("abcd") == [256 + 2, 256] and small.encode("abc") == [97, 256 + 1]
 
 
 def test_ids_table(spark, bpe):
     texts = ["hello", None, "", " ", "<|endoftext|>", "x" * 20000, "hello"]
     got = {r["doc_id"]: r["ids"] for r in tokenize.encode_documents(docs(spark, texts)).collect()}
     assert got == {i: bpe.encoding.encode_ordinary(t) if t else [] for i, t in enumerate(texts)}
+    back = tokenize.decode_documents(tokenize.encode_documents(docs(spark, texts)))
+    assert {r["doc_id"]: r["text"] for r in back.collect()} == {i: t or "" for i, t in enumerate(texts)}
 
 
 # containers
