@@ -5,6 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitelake.sources.tables import materialise
+
+#: Spellings of one URL that meet in one task when pairs are formed; larger classes are split.
+SPLIT = 500
+#: So many split classes are broadcast, at some 50 bytes each; more are joined by shuffle.
+MOST_BROADCAST = 50_000
 #: All but letters and digits of any script.
 _IGNORED = r"[^\p{L}\p{N}]"
 
@@ -30,7 +36,7 @@ def canonical_url(url: Column) -> Column:
 def _with_canonical(df: DataFrame) -> DataFrame:
     keyed = df.withColumn("canonical", canonical_url(F.col("__u")))
     hashed = F.md5(F.encode("canonical", "UTF-8"))
-    return keyed.withColumn("key", F.unhex(hashed))
+    return keyed.withColumn("key", F.coalesce(F.unhex(hashed), F.lit(b"")))  # never null, else joins test the scanned rows for it
 
 
 def stored_spellings(fields: dict[str, DataFrame]) -> DataFrame:
@@ -61,15 +67,24 @@ def collapse_urls(fields: dict[str, DataFrame]) -> DataFrame:
 def spelling_pairs(fields: dict[str, DataFrame]) -> DataFrame:
     """(field, url_a, url_b), url_a < url_b in byte order: different stored strings that are the same URL.
 
-    An equi-join of the different strings on field and 128-bit hash, so that a
-    URL's pairs are formed by the join and never collected; the canonical forms
-    of each pair are compared, so that a collision yields no pair.
+    The different strings are written once with the 128-bit hash of their canonical
+    form and a second hash of 64 bits, and joined on the first; pairs whose second
+    hashes differ are a collision and dropped. A class of more than SPLIT spellings
+    is spread over several tasks: each of its strings goes to one part as the first
+    of a pair and to all parts as the second.
     """
-    keyed = _with_canonical(stored_spellings(fields).withColumn("__u", F.col("url"))).select("field", "key", "url")
-    a = keyed.select("field", "key", F.col("url").alias("url_a"))
-    b = keyed.select(F.col("field").alias("field_b"), F.col("key").alias("key_b"), F.col("url").alias("url_b"))
-    same = (F.col("field") == F.col("field_b")) & (F.col("key") == F.col("key_b")) & (F.col("url_a") < F.col("url_b"))
-    pairs = a.join(b, same).select("field", "url_a", "url_b")
-    checked = pairs.withColumn("__u", F.col("url_a")).withColumn("__ca", canonical_url(F.col("__u")))
-    checked = checked.withColumn("__u", F.col("url_b")).withColumn("__cb", canonical_url(F.col("__u")))
-    return checked.where("__ca = __cb").select("field", "url_a", "url_b")
+    keyed = _with_canonical(stored_spellings(fields).withColumn("__u", F.col("url")))
+    keyed = materialise(keyed.select("field", "key", F.xxhash64("canonical", F.lit("second")).alias("check"), "url"))
+    large = keyed.groupBy("field", "key").agg(F.count(F.lit(1)).alias("spellings")).where(F.col("spellings") > SPLIT)
+    large = materialise(large.select("field", "key", F.ceil(F.col("spellings") / SPLIT).cast("int").alias("parts")))
+    n_large = large.count()
+    if n_large:
+        keyed = keyed.join(F.broadcast(large) if n_large <= MOST_BROADCAST else large, ["field", "key"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    else:
+        keyed = keyed.withColumn("parts", F.lit(1))
+    a = keyed.select("field", "key", "check", F.pmod(F.xxhash64("url"), "parts").cast("int").alias("part"), F.col("url").alias("url_a"))
+    b = keyed.select(
+        F.col("field").alias("field_b"), F.col("key").alias("key_b"), F.col("check").alias("check_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part_b"), F.col("url").alias("url_b")
+    )
+    same = (F.col("field") == F.col("field_b")) & (F.col("key") == F.col("key_b")) & (F.col("part") == F.col("part_b"))
+    return a.join(b, same & (F.col("check") == F.col("check_b")) & (F.col("url_a") < F.col("url_b"))).select("field", "url_a", "url_b")

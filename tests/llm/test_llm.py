@@ -194,6 +194,15 @@ def test_spellings(spark):
     assert sum(c for _, c in got.values()) == len(urls) - 1 and got["http://a.b/x"] == (2, 3)
 
 
+def test_a_class_of_many_spellings_is_split(spark, monkeypatch):
+    monkeypatch.setattr(canonical, "SPLIT", 10)
+    urls = [f"http://a.b/{'-' * i}x" for i in range(45)] + [f"http://a.b/{'-' * i}y" for i in range(9)] + ["http://a.b/z"]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    got = [(r["url_a"], r["url_b"]) for r in canonical.spelling_pairs({"f": df, "g": df.limit(0)}).collect()]
+    want = {(a, b) for own in (urls[:45], urls[45:54]) for a, b in combinations(sorted(own), 2)}
+    assert len(got) == len(want) and set(got) == want
+
+
 # tokens
 @pytest.fixture(scope="module")
 def bpe():
