@@ -1,13 +1,15 @@
-"""Near-duplicate texts: fingerprints split into blocks, joined on blocks, verified.
+"""Near-duplicate texts: fingerprints split into blocks, joined on blocks, verified by Hamming distance.
 
 A fingerprint has COMPONENTS minimum-hash components of the text's shingles, so
 that the share of components in which two fingerprints differ follows one minus
 their Jaccard similarity. Pigeonhole: of BLOCKS blocks, a pair that differs in
 fewer components than there are blocks must share one whole block; pairs with
 more differing components share one with a probability that PERMUTATIONS and BINS
-set (0.999 at a similarity of 0.6). A row of a block carries its text's sketch,
-so that the join itself compares Hamming distances and writes only close pairs;
-what remains is compared by the exact similarity.
+set (0.9987 at a similarity of 0.6). A row of a block carries its text's sketch of
+one bit a component, so that the join itself compares Hamming distances and writes
+only close pairs; these are compared by four bits a component, and what remains by
+the exact similarity of the texts. A block that many texts share is spread over
+several tasks.
 """
 
 from __future__ import annotations
@@ -36,10 +38,18 @@ SKETCH_BITS = PERMUTATIONS * BINS
 MOST_BROADCAST_IDS = 500_000
 #: Characters of text that are hashed at a time.
 SLICE_BYTES = 8_000_000
+#: Copies of one text from which its rows are spread, and texts of a block that meet in one task.
+HOT_CLASS, BLOCK_TEXTS = 1000, 400
+#: Block sizes are estimated from one text in so many; they only decide how a block is spread.
+SIZE_SAMPLE = 16
+#: Hot texts or blocks that are broadcast, at some 30 bytes each; more are joined by shuffle.
+MOST_BROADCAST_HOT = 100_000
 _WHITE = "[ \t\n\r]+"
 _SPLIT = re.compile(_WHITE)
 WORDS = SKETCH_BITS // 64
 _SKETCH = [f"s{k}" for k in range(WORDS)]
+#: Words of the components' low four bits, sixteen a word.
+_NIBBLES = [f"g{k}" for k in range(SKETCH_BITS // 16)]
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
@@ -118,6 +128,13 @@ def _sketch(prints: np.ndarray) -> np.ndarray:
     return np.stack([(bits[:, k * 64 : k * 64 + 64] * weights).sum(axis=1, dtype=np.uint64) for k in range(WORDS)], axis=1)
 
 
+def _nibbles(prints: np.ndarray) -> np.ndarray:
+    """(n, len(_NIBBLES)) words of four bits of each component."""
+    low = (_mixed(prints.reshape(len(prints), -1)) >> np.uint64(23)) & np.uint64(15)
+    shifts = np.uint64(4) * np.arange(16, dtype=np.uint64)
+    return (low.reshape(len(prints), -1, 16) << shifts).sum(axis=2, dtype=np.uint64)
+
+
 def _sliced(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
     sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy().astype(np.int64))
     start = 0
@@ -129,7 +146,8 @@ def _sliced(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprint_table(texts: DataFrame, words: int) -> DataFrame:
-    """(id, blocks, sketch) of (id, text); texts with fewer words than a shingle have no row."""
+    """(id, blocks, sketch, nibbles) of (id, text); texts with fewer words than a shingle have no row."""
+    longs = [*_SKETCH, *_NIBBLES]
 
     def run(batches):
         for whole in batches:
@@ -139,19 +157,18 @@ def fingerprint_table(texts: DataFrame, words: int) -> DataFrame:
                 if not len(present):
                     continue
                 prints = fingerprints(compact, hashes, len(present))
-                sketch = _sketch(prints).view(np.int64)
+                numbers = np.concatenate([_sketch(prints), _nibbles(prints)], axis=1).view(np.int64)
                 blocks = pa.FixedSizeListArray.from_arrays(pa.array(_blocks(prints).view(np.int64).ravel()), BLOCKS).cast(pa.list_(pa.int64()))
                 ids = batch.column(0).take(pa.array(present))
-                words_of = [pa.array(sketch[:, k].copy()) for k in range(WORDS)]
-                yield pa.record_batch([ids, blocks, *words_of], names=["id", "blocks", *_SKETCH])
+                yield pa.record_batch([ids, blocks, *[pa.array(numbers[:, k].copy()) for k in range(len(longs))]], names=["id", "blocks", *longs])
 
-    return texts.mapInArrow(run, "id long, blocks array<long>, " + ", ".join(f"{c} long" for c in _SKETCH))
+    return texts.mapInArrow(run, "id long, blocks array<long>, " + ", ".join(f"{c} long" for c in longs))
 
 
-def most_differing_bits(similarity: float, deviations: float = 3.2) -> int:
-    """Sketch bits in which a pair of at least `similarity` differs, but for one in 1,400."""
-    p = (1 - similarity) / 2
-    return int(np.ceil(SKETCH_BITS * p + deviations * (SKETCH_BITS * p * (1 - p)) ** 0.5))
+def most_differing(parts: int, similarity: float, chance: float, deviations: float = 3.2) -> int:
+    """Of `parts` parts of two fingerprints, in how many a pair of at least `similarity` differs, but for one in 1,400; parts of different components agree by `chance`."""
+    p = (1 - similarity) * (1 - chance)
+    return int(np.ceil(parts * p + deviations * (parts * p * (1 - p)) ** 0.5))
 
 
 def shingle_set(text: str, words: int) -> set[tuple[str, ...]]:
@@ -192,10 +209,38 @@ def verify(pairs: DataFrame, words: int, similarity: float) -> DataFrame:
 
 
 def classes_of(texts: DataFrame) -> DataFrame:
-    """(id, rep): the least id with the same text, for each row of (id, text); null texts are left out."""
-    keyed = texts.where("text is not null and id is not null").select("id", F.xxhash64("text").alias("h1"), F.unhex(F.md5("text")).alias("h2"))
-    reps = keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"))
-    return keyed.join(reps, ["h1", "h2"]).select("id", "rep").distinct()
+    """(id, rep): the least id with the same text, for each row of (id, text); null texts are left out.
+
+    Texts are compared by two hashes of 64 bits. The rows of a text with HOT_CLASS
+    copies or more meet their class by broadcast and stay where they are.
+    """
+    keyed = texts.where("text is not null and id is not null").select("id", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
+    reps = materialise(keyed.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1"))
+    hot = reps.where(F.col("copies") >= HOT_CLASS).select("h1", "h2", F.col("rep").alias("hot_rep"))
+    n_hot = hot.count()
+    if n_hot and n_hot <= MOST_BROADCAST_HOT:
+        keyed = keyed.join(F.broadcast(hot), ["h1", "h2"], "left")
+        cold = reps.where(F.col("copies") < HOT_CLASS)
+    else:
+        keyed, cold = keyed.withColumn("hot_rep", F.lit(None).cast("long")), reps
+    spread = keyed.withColumn("h1", F.when(F.col("hot_rep").isNotNull(), F.xxhash64("id")).otherwise(F.col("h1")))
+    found = spread.join(cold.select("h1", "h2", "rep"), ["h1", "h2"], "left")
+    return found.select("id", F.coalesce("hot_rep", "rep", "id").alias("rep")).distinct()
+
+
+def _by_count(df: DataFrame, most: int) -> DataFrame:
+    """`df` for a join, broadcast where it has no more than `most` rows."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def _block_rows(table: DataFrame) -> DataFrame:
+    """(block, parts, id, sketch): a row for each block of each text; parts is over how many tasks the block's texts are spread."""
+    blocks = table.select("id", F.explode("blocks").alias("block"), *_SKETCH)
+    sizes = blocks.where(F.pmod(F.xxhash64("id"), F.lit(SIZE_SAMPLE)) == 0).groupBy("block").agg((F.count(F.lit(1)) * SIZE_SAMPLE).alias("texts"))
+    large = materialise(sizes.where(F.col("texts") > BLOCK_TEXTS).select("block", F.ceil(F.col("texts") / BLOCK_TEXTS).cast("int").alias("parts")))
+    if large.isEmpty():
+        return blocks.withColumn("parts", F.lit(1))
+    return blocks.join(_by_count(large, MOST_BROADCAST_HOT), "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
 
 
 def similar_classes(texts: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -205,25 +250,30 @@ def similar_classes(texts: DataFrame, words: int, similarity: float) -> tuple[Da
     is one row from here on.
     """
     members = materialise(classes_of(texts))
-    chosen = members.where("id = rep").select("id")
     table = fingerprint_table(texts.where("text is not null and id is not null").select("id", "text"), words)
-    table = table.join(chosen, "id", "left_semi").dropDuplicates(["id"])
-    blocks = table.select("id", F.explode("blocks").alias("block"), *_SKETCH)
-    left = blocks.select("block", F.col("id").alias("a"), *_SKETCH)
-    right = blocks.select(F.col("block").alias("block_b"), F.col("id").alias("b"), *[F.col(c).alias(f"t{c}") for c in _SKETCH])
+    copies = members.where("id <> rep").select("id")
+    table = materialise(table.join(_by_count(copies, MOST_BROADCAST_IDS), "id", "left_anti"))
+    rows = _block_rows(table)
+    left = rows.select("block", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.col("id").alias("a"), *_SKETCH)
+    right = rows.select(F.col("block").alias("block_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part_b"), F.col("id").alias("b"), *[F.col(c).alias(f"t{c}") for c in _SKETCH])
     far = " + ".join(f"bit_count({c} ^ t{c})" for c in _SKETCH)
-    near = F.expr(f"block = block_b AND a < b AND {far} <= {most_differing_bits(similarity)}")
-    close = materialise(left.join(right, near).select("a", "b").distinct())
+    near = F.expr(f"block = block_b AND part = part_b AND a < b AND {far} <= {most_differing(SKETCH_BITS, similarity, 0.5)}")
+    close = left.join(right, near).select("a", "b").distinct()
+
+    nibbles = table.select("id", *_NIBBLES)
+    both = close.join(nibbles.withColumnRenamed("id", "a"), "a").join(nibbles.toDF("b", *[f"t{c}" for c in _NIBBLES]), "b")
+    once = "array(" + ", ".join(f"{c} ^ t{c}" for c in _NIBBLES) + ")"
+    apart = f"aggregate({once}, 0, (n, x) -> n + bit_count((x | shiftrightunsigned(x, 1) | shiftrightunsigned(x, 2) | shiftrightunsigned(x, 3)) & 1229782938247303441L))"
+    close = materialise(both.where(F.expr(f"{apart} <= {most_differing(SKETCH_BITS, similarity, 1 / 16)}")).select("a", "b"))
+
     used = close.select(F.col("a").alias("id")).union(close.select("b")).distinct()
-    if used.count() <= MOST_BROADCAST_IDS:
-        used = F.broadcast(used)
-    used_texts = texts.join(used, "id", "left_semi").dropDuplicates(["id"])
-    both = (
+    used_texts = texts.join(_by_count(used, MOST_BROADCAST_IDS), "id", "left_semi").select("id", "text").dropDuplicates(["id"])
+    pairs = (
         close.join(used_texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
         .join(used_texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
         .select("a", "b", "ta", "tb")
     )
-    return members, verify(both, words, similarity)
+    return members, verify(pairs, words, similarity)
 
 
 def near_pairs(texts: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

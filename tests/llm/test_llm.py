@@ -143,7 +143,12 @@ def test_garbled_entities(spark, labeller):
 
 
 # near duplicates
-def test_near_pairs_against_brute_force(spark):
+@pytest.mark.parametrize("hot", [False, True])
+def test_near_pairs_against_brute_force(spark, monkeypatch, hot):
+    if hot:  # copies and blocks are spread
+        monkeypatch.setattr(neardup, "HOT_CLASS", 3)
+        monkeypatch.setattr(neardup, "BLOCK_TEXTS", 2)
+        monkeypatch.setattr(neardup, "SIZE_SAMPLE", 1)
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(400)]
     texts = []
