@@ -233,14 +233,26 @@ def _by_count(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def _block_rows(table: DataFrame) -> DataFrame:
-    """(block, parts, id, sketch): a row for each block of each text; parts is over how many tasks the block's texts are spread."""
+def _close_in_blocks(table: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: texts that share a block and whose sketches are close; pairs repeat.
+
+    A block of more than about BLOCK_TEXTS texts is spread over several tasks: each
+    text goes to one part as the first of a pair and to all parts as the second.
+    """
+    far = " + ".join(f"bit_count({c} ^ t{c})" for c in _SKETCH)
+    near = F.expr(f"a < b AND {far} <= {most_differing(SKETCH_BITS, similarity, 0.5)}")
     blocks = table.select("id", F.explode("blocks").alias("block"), *_SKETCH)
+    first = lambda df, *more: df.select("block", *more, F.col("id").alias("a"), *_SKETCH)
+    second = lambda df, *more: df.select("block", *more, F.col("id").alias("b"), *[F.col(c).alias(f"t{c}") for c in _SKETCH])
+
     sizes = blocks.where(F.pmod(F.xxhash64("id"), F.lit(SIZE_SAMPLE)) == 0).groupBy("block").agg((F.count(F.lit(1)) * SIZE_SAMPLE).alias("texts"))
     large = materialise(sizes.where(F.col("texts") > BLOCK_TEXTS).select("block", F.ceil(F.col("texts") / BLOCK_TEXTS).cast("int").alias("parts")))
     if large.isEmpty():
-        return blocks.withColumn("parts", F.lit(1))
-    return blocks.join(_by_count(large, MOST_BROADCAST_HOT), "block", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        return first(blocks).join(second(blocks), "block").where(near).select("a", "b")
+    large = _by_count(large, MOST_BROADCAST_HOT)
+    small, hot = blocks.join(large, "block", "left_anti"), blocks.join(large, "block")
+    parts = first(hot, F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part")).join(second(hot, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), ["block", "part"])
+    return first(small).join(second(small), "block").where(near).select("a", "b").unionAll(parts.where(near).select("a", "b"))
 
 
 def similar_classes(texts: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
@@ -253,13 +265,7 @@ def similar_classes(texts: DataFrame, words: int, similarity: float) -> tuple[Da
     table = fingerprint_table(texts.where("text is not null and id is not null").select("id", "text"), words)
     copies = members.where("id <> rep").select("id")
     table = materialise(table.join(_by_count(copies, MOST_BROADCAST_IDS), "id", "left_anti"))
-    rows = _block_rows(table)
-    left = rows.select("block", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.col("id").alias("a"), *_SKETCH)
-    right = rows.select(F.col("block").alias("block_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part_b"), F.col("id").alias("b"), *[F.col(c).alias(f"t{c}") for c in _SKETCH])
-    far = " + ".join(f"bit_count({c} ^ t{c})" for c in _SKETCH)
-    near = F.expr(f"block = block_b AND part = part_b AND a < b AND {far} <= {most_differing(SKETCH_BITS, similarity, 0.5)}")
-    close = left.join(right, near).select("a", "b").distinct()
-
+    close = _close_in_blocks(table, similarity).distinct()
     nibbles = table.select("id", *_NIBBLES)
     both = close.join(nibbles.withColumnRenamed("id", "a"), "a").join(nibbles.toDF("b", *[f"t{c}" for c in _NIBBLES]), "b")
     once = "array(" + ", ".join(f"{c} ^ t{c}" for c in _NIBBLES) + ")"
