@@ -124,11 +124,34 @@ def is_valid_link(url: Column) -> Column:
     return scheme(url).isin("http", "https") & (host(url) != "") & has_page_extension(url) & ~url.contains("?") & ~url.contains("#")
 
 
+def query(url: Column) -> Column:
+    """What stands between the first '?' and the fragment, '' for nothing."""
+    return F.regexp_extract(url, r"(?s)^[^?#]*\?([^#]*)", 1)
+
+
+def without_params(url: Column) -> Column:
+    """The URL without query, fragment and the parameters of its last segment."""
+    return F.regexp_replace(without_query(url), r";[^/]*$", "")
+
+
 def segments(url: Column) -> Column:
-    """Decoded path segments; a plus sign stays a plus sign."""
-    p = path(url)
+    """Decoded path segments, the query behind the last; a plus sign stays a plus sign."""
+    p = F.regexp_replace(path(url), "^/+|/+$", "")
     decoded = F.coalesce(F.try_url_decode(F.replace(p, F.lit("+"), F.lit("%2B"))), p)
-    return F.filter(F.split(decoded, "/"), lambda s: s != "")
+    asked = query(url)
+    whole = F.when(asked != "", F.concat(decoded, F.lit("?"), asked)).otherwise(decoded)
+    return F.filter(F.split(whole, "/"), lambda s: s != "")
+
+
+def is_canonical(source: Column, target: Column) -> Column:
+    """Whether the target is a page of the source's host in its plain form."""
+    return (host(source) == host(target)) & is_valid_link(target)
+
+
+def link_flag(source: Column, target: Column) -> Column:
+    """0 for a plain page of the same host, 1 for a page of another host, null for what is not kept: other forms of own pages and what is no page."""
+    page = scheme(target).isin("http", "https") & (host(target) != "") & has_page_extension(target)
+    return F.when(is_canonical(source, target), 0).when(page & (host(source) != host(target)), 1)
 
 
 def link_kind(source: Column, target: Column) -> Column:

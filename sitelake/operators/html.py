@@ -6,6 +6,9 @@ images, rules and page types are columns over that row.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -17,31 +20,40 @@ from sitelake.functions import urls
 _HEADING = pa.struct([("level", pa.int32()), ("text", pa.string()), ("direct_img", pa.bool_())])
 _SCHEMA = pa.schema(
     [
-        ("page_id", pa.int64()), ("url", pa.string()), ("has_doctype", pa.bool_()), ("has_head", pa.bool_()), ("has_body", pa.bool_()), ("title", pa.string()),
+        ("page_id", pa.int64()), ("url", pa.string()), ("has_doctype", pa.bool_()), ("has_root", pa.bool_()), ("has_head", pa.bool_()), ("has_body", pa.bool_()), ("title", pa.string()),
         ("head_title", pa.string()), ("metas", pa.list_(pa.struct([("in_head", pa.bool_()), ("attrs", pa.map_(pa.string(), pa.string()))]))),
         ("link_tags", pa.list_(pa.struct([("in_head", pa.bool_()), ("attrs", pa.map_(pa.string(), pa.string()))]))), ("headings", pa.list_(_HEADING)),
         ("anchors", pa.list_(pa.struct([("text", pa.string()), ("attrs", pa.map_(pa.string(), pa.string()))]))),
-        ("images", pa.list_(pa.map_(pa.string(), pa.string()))), ("json_ld", pa.list_(pa.string())), ("body_class", pa.string()), ("body_text", pa.string()),
+        ("images", pa.list_(pa.map_(pa.string(), pa.string()))), ("json_ld", pa.list_(pa.string())), ("ld_items", pa.list_(pa.string())), ("scripts", pa.list_(pa.string())), ("body_class", pa.string()), ("body_text", pa.string()),
     ]
 )
 _DDL = (
-    "page_id long, url string, has_doctype boolean, has_head boolean, has_body boolean, title string, head_title string, "
+    "page_id long, url string, has_doctype boolean, has_root boolean, has_head boolean, has_body boolean, title string, head_title string, "
     "metas array<struct<in_head:boolean,attrs:map<string,string>>>, link_tags array<struct<in_head:boolean,attrs:map<string,string>>>, "
     "headings array<struct<level:int,text:string,direct_img:boolean>>, anchors array<struct<text:string,attrs:map<string,string>>>, "
-    "images array<map<string,string>>, json_ld array<string>, body_class string, body_text string"
+    "images array<map<string,string>>, json_ld array<string>, ld_items array<string>, scripts array<string>, body_class string, body_text string"
 )
 #: Fixed value: the one-pixel image that lazy loaders put in place of another.
 PIXEL = "data:image/gif;base64,R0lGODlhAQABA"
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
+def _items(text: str) -> list[str]:
+    """The objects of a JSON-LD text, those of a list one by one; none where it is broken."""
+    try:
+        found = json.loads(text)
+    except (ValueError, RecursionError):
+        return []
+    return [json.dumps(x, ensure_ascii=False).encode("utf-8", "replace").decode() for x in (found if isinstance(found, list) else [found])]
+
+
 class _Page(HTMLParser):
     """Facts of one page; unclosed tags end with the page, stray end tags are ignored."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.row = {n: [] for n in ("metas", "link_tags", "headings", "anchors", "images", "json_ld")}
-        self.row |= {"has_doctype": False, "has_head": False, "has_body": False, "title": None, "head_title": None, "body_class": None}
+        self.row = {n: [] for n in ("metas", "link_tags", "headings", "anchors", "images", "json_ld", "ld_items", "scripts")}
+        self.row |= {"has_doctype": False, "has_root": False, "has_head": False, "has_body": False, "title": None, "head_title": None, "body_class": None}
         self.stack: list[str] = []
         self.title = self.heading = self.anchor = self.script = None
         self.body: list[str] = []
@@ -54,7 +66,9 @@ class _Page(HTMLParser):
         for k, v in attrs:
             a.setdefault(k, v or "")
         head = "head" in self.stack
-        if tag == "head":
+        if tag == "html":
+            self.row["has_root"] = True
+        elif tag == "head":
             self.row["has_head"] = True
         elif tag == "body":
             self.row["has_body"] = True
@@ -76,8 +90,8 @@ class _Page(HTMLParser):
             self.row["images"].append(list(a.items()))
             if self.heading and len(self.stack) == self.heading[3] + 1:
                 self.heading[2] = True
-        elif tag == "script" and a.get("type", "").lower() == "application/ld+json":
-            self.script = []
+        elif tag == "script":
+            self.script, self.is_ld = [], a.get("type", "").lower() == "application/ld+json"
         if tag not in _VOID:
             self.stack.append(tag)
 
@@ -101,7 +115,9 @@ class _Page(HTMLParser):
         elif tag == "script" and self.script is not None:
             text = "".join(self.script)
             if text.strip():
-                self.row["json_ld"].append(text)
+                self.row["json_ld" if self.is_ld else "scripts"].append(text)
+                if self.is_ld:
+                    self.row["ld_items"] += _items(text)
             self.script = None
         if tag in self.stack:
             while self.stack.pop() != tag:
@@ -167,24 +183,83 @@ def _canonical(head: bool = False) -> Column:
     return F.when(F.size(hit) > 0, F.coalesce(F.get(hit, F.lit(0))["attrs"]["href"], F.lit("")))
 
 
-def elements(facts: DataFrame) -> DataFrame:
-    """(page_id, title, meta_description, canonical, robots, h1, headings, open_graph, structured_data); empty text elements are null."""
+def _heading_map() -> Column:
+    """JSON of level name -> texts, for the levels that a page has."""
+    levels = F.array_sort(F.array_distinct(F.transform("headings", lambda h: h["level"])))
+    texts = lambda n: F.transform(F.filter("headings", lambda h: h["level"] == n), lambda h: h["text"])
+    return F.when(F.size("headings") > 0, F.to_json(F.map_from_arrays(F.transform(levels, lambda n: F.concat(F.lit("h"), n)), F.transform(levels, texts))))
+
+
+def _open_graph() -> Column:
     graph = F.filter("metas", lambda m: F.startswith(m["attrs"]["property"], F.lit("og:")))
     keys = F.array_distinct(F.transform(graph, lambda m: m["attrs"]["property"]))
     last = lambda k: F.element_at(F.filter(graph, lambda m: m["attrs"]["property"] == k), -1)["attrs"]["content"]
+    return F.to_json(F.map_from_arrays(keys, F.transform(keys, last)))
+
+
+def _first_h1() -> Column:
+    return F.get(F.filter("headings", lambda h: h["level"] == 1), F.lit(0))["text"]
+
+
+def elements(facts: DataFrame) -> DataFrame:
+    """(page_id, title, meta_description, canonical, robots, h1, headings, open_graph, structured_data); empty text elements are null."""
     return facts.select(
         "page_id",
         F.nullif("title", F.lit("")).alias("title"),
         F.nullif(_meta("name", "description"), F.lit("")).alias("meta_description"),
         F.nullif(_canonical(), F.lit("")).alias("canonical"),
         F.nullif(_meta("name", "robots"), F.lit("")).alias("robots"),
-        F.get(F.filter("headings", lambda h: h["level"] == 1), F.lit(0))["text"].alias("h1"),
+        _first_h1().alias("h1"),
         F.transform("headings", lambda h: F.concat(F.lit("h"), h["level"], F.lit(" "), h["text"])).alias("headings"),
-        F.to_json(F.map_from_arrays(keys, F.transform(keys, last))).alias("open_graph"),
+        _open_graph().alias("open_graph"),
         F.col("json_ld").alias("structured_data"),
     )
 
 
+#: The types of stored elements.
+ELEMENT_TYPES = ("page_title", "meta_description", "canonical_tag", "headings", "robots_meta", "open_graph_tags", "structured_data")
+
+
+def stored_elements(facts: DataFrame, types: list[str] | None = None) -> DataFrame:
+    """(page_id, element_type, content): a row for each element that a page has, lists and maps as JSON; empty ones are not stored."""
+    wanted = ELEMENT_TYPES if types is None else [t for t in ELEMENT_TYPES if t in types]
+    made = {
+        "page_title": F.col("title"),
+        "meta_description": _meta("name", "description"),
+        "canonical_tag": _canonical(),
+        "headings": _heading_map(),
+        "robots_meta": F.when(_meta("name", "robots") != "", F.to_json(F.struct(_meta("name", "robots").alias("content")))),
+        "open_graph_tags": F.nullif(_open_graph(), F.lit("{}")),
+        "structured_data": F.when(F.size("json_ld") > 0, F.to_json("json_ld")),
+    }
+    if not wanted:
+        return facts.select("page_id", F.lit("").alias("element_type"), F.lit("").alias("content")).limit(0)
+    rows = F.array(*[F.struct(F.lit(t).alias("element_type"), made[t].alias("content")) for t in wanted])
+    return facts.select("page_id", F.explode(rows).alias("e")).select("page_id", "e.*").where("content <> ''")
+
+
+def element_pivot(stored: DataFrame, pages: DataFrame) -> DataFrame:
+    """(page_id, a column for each element type): every page of (id), null for what it lacks."""
+    wide = stored.groupBy("page_id").pivot("element_type", list(ELEMENT_TYPES)).agg(F.min("content"))
+    return pages.select(F.col("id").alias("page_id")).join(wide, "page_id", "left")
+
+
+def page_facts(facts: DataFrame) -> DataFrame:
+    """(page_id, title_length, meta_desc_length, h1_length, total_images, missing_alt_tags, missing_alt_ratio, has_canonical): 0 for what a page lacks."""
+    size = lambda c: F.length(F.coalesce(c, F.lit("")))
+    shown = F.filter("images", lambda i: _source(i).isNotNull() & ~F.startswith(_source(i), F.lit(PIXEL)))
+    row = facts.select(
+        "page_id",
+        size(F.col("title")).alias("title_length"),
+        size(_meta("name", "description")).alias("meta_desc_length"),
+        size(_first_h1()).alias("h1_length"),
+        F.size(shown).alias("total_images"),
+        F.size(F.filter(shown, lambda i: F.trim(F.coalesce(i["alt"], F.lit(""))) == "")).alias("missing_alt_tags"),
+        F.coalesce((_canonical() != "").cast("int"), F.lit(0)).alias("has_canonical"),
+    )
+    return row.withColumn("missing_alt_ratio", F.when(F.col("total_images") > 0, F.round(100 * F.col("missing_alt_tags") / F.col("total_images"), 2)).otherwise(F.lit(0.0)))
+
+
 def anchors(facts: DataFrame) -> DataFrame:
     """(page_id, source_url, target_url, anchor, rel, is_external): the links of each page that can be followed, fragments dropped."""
     href = F.trim("a.attrs.href")
@@ -195,13 +270,17 @@ def anchors(facts: DataFrame) -> DataFrame:
     return out.where(urls.has_page_extension(F.col("target_url"))).withColumn("is_external", (urls.host(F.col("source_url")) != urls.host(F.col("target_url"))).cast("int"))
 
 
+def _source(image: Column) -> Column:
+    """Where an image comes from: src, else data-src, else the first of srcset; null for none."""
+    first = F.get(F.split(F.trim(F.get(F.split(image["srcset"], ","), F.lit(0))), r"\s+"), F.lit(0))
+    return F.coalesce(F.nullif(F.trim(image["src"]), F.lit("")), F.nullif(F.trim(image["data-src"]), F.lit("")), F.nullif(first, F.lit("")))
+
+
 def images(facts: DataFrame) -> DataFrame:
     """(page_id, image_url, alt_text, width, height): src, else data-src, else the first of srcset; tracking pixels left out."""
     rows = facts.select("page_id", "url", F.explode("images").alias("i"))
-    first = F.get(F.split(F.trim(F.get(F.split(F.col("i")["srcset"], ","), F.lit(0))), r"\s+"), F.lit(0))
-    source = F.coalesce(F.nullif(F.trim(F.col("i")["src"]), F.lit("")), F.nullif(F.trim(F.col("i")["data-src"]), F.lit("")), F.nullif(first, F.lit("")))
     whole = lambda c: F.regexp_replace(F.col("i")[c], "[^0-9]", "").try_cast("int").alias(c)
-    found = rows.withColumn("s", source).where(F.col("s").isNotNull() & ~F.startswith("s", F.lit(PIXEL)))
+    found = rows.withColumn("s", _source(F.col("i"))).where(F.col("s").isNotNull() & ~F.startswith("s", F.lit(PIXEL)))
     return found.select("page_id", urls.joined(F.col("url"), F.col("s")).alias("image_url"), F.trim(F.col("i")["alt"]).alias("alt_text"), whole("width"), whole("height"))
 
 
@@ -218,81 +297,146 @@ def is_product() -> Column:
     return (page_type() == "product") | F.coalesce(F.lower(kind).isin("product", "og:product"), F.lit(False)) | prop | F.coalesce(F.lower("body_class").rlike(r"\b(?:single-product|product-page|product-template)\b"), F.lit(False))
 
 
-def _issue(when: Column, code: str, element: str, severity: str, category: str, message: Column | None = None) -> Column:
-    made = F.struct(
-        F.lit(code).alias("issue_code"), F.lit(element).alias("element_type"), F.lit(severity).alias("severity"), F.lit(category).alias("category"),
-        (message if message is not None else F.lit(code.replace("_", " ").capitalize())).alias("message"),
-    )
-    return F.when(when, made)
+#: Page filters by name: a condition over the row of facts.
+FILTERS: dict[str, Callable[[], Column]] = {"product": is_product}
+
 
+def page_filter(name: str):
+    """Register a condition over facts under `name`."""
 
-def issues(facts: DataFrame, statuses: DataFrame | None = None, strict: bool = False) -> DataFrame:
+    def add(f: Callable[[], Column]) -> Callable[[], Column]:
+        FILTERS[name] = f
+        return f
+
+    return add
+
+
+@page_filter("any_product")
+def _any_product() -> Column:
+    """is_product, or a button or form that puts something into a cart."""
+    cart = F.exists("anchors", lambda a: F.coalesce(a["attrs"]["class"], F.lit("")).rlike(r"(?i)add[-_]?to[-_]?cart")) | F.exists("scripts", lambda t: t.rlike(r"(?i)add[-_]?to[-_]?cart"))
+    return is_product() | cart
+
+
+def filtered(facts: DataFrame, *names: str) -> DataFrame:
+    """The facts of pages that meet all named filters."""
+    for name in names:
+        facts = facts.where(F.coalesce(FILTERS[name](), F.lit(False)))
+    return facts
+
+
+@dataclass(frozen=True)
+class Rule:
+    """What a page may break. scope: what `when` and `message` are given, 'head' and 'page' the row of facts (None), 'h1', 'image' and 'link' one of those."""
+
+    code: str
+    element: str
+    severity: str
+    category: str
+    scope: str
+    when: Callable[[Column | None], Column]
+    message: Callable[[Column | None], Column] | None = None
+    strict: bool = False
+
+    def issue(self, x: Column | None = None) -> Column:
+        text = self.message(x) if self.message else F.lit(self.code.replace("_", " ").capitalize())
+        made = F.struct(*[F.lit(v).alias(n) for n, v in (("issue_code", self.code), ("element_type", self.element), ("severity", self.severity), ("category", self.category))], text.alias("message"))
+        return F.when(self.when(x), made)
+
+
+def _title(_=None) -> Column:
+    return F.col("head_title")
+
+
+def _description(_=None) -> Column:
+    return _meta("name", "description", True)
+
+
+def _says(text: str, value: Callable[[Column], Column], shown: Callable[[Column], Column] | None = None) -> Callable[[Column], Column]:
+    return lambda x: F.concat(F.lit(text), value(x).cast("string"), F.lit(" characters"), *([F.lit(": "), shown(x)] if shown else []))
+
+
+def _kilobytes(i: Column) -> Column:
+    return F.when(F.startswith(i["src"], F.lit("data:image")), F.length(i["src"]) / 1024)
+
+
+_size = lambda f: lambda x: F.length(f(x))
+#: Codes, severities, categories and limits.
+RULES = [
+    Rule("MISSING_TITLE", "title", "CRITICAL", "HEAD", "head", lambda x: _title().isNull()),
+    Rule("EMPTY_TITLE", "title", "CRITICAL", "HEAD", "head", lambda x: _title() == ""),
+    Rule("TITLE_TOO_SHORT", "title", "WARNING", "HEAD", "head", lambda x: F.length(_title()).between(1, 9), _says("Title has ", _size(_title))),
+    Rule("TITLE_TOO_LONG", "title", "WARNING", "HEAD", "head", lambda x: F.length(_title()) > 60, _says("Title has ", _size(_title), lambda x: F.left(_title(), F.lit(50)))),
+    Rule("MISSING_META_DESC", "meta_description", "WARNING", "HEAD", "head", lambda x: _description().isNull()),
+    Rule("EMPTY_META_DESC", "meta_description", "WARNING", "HEAD", "head", lambda x: _description() == ""),
+    Rule("META_DESC_TOO_SHORT", "meta_description", "INFO", "HEAD", "head", lambda x: F.length(_description()).between(1, 49), _says("Meta description has ", _size(_description))),
+    Rule("META_DESC_TOO_LONG", "meta_description", "INFO", "HEAD", "head", lambda x: F.length(_description()) > 160, _says("Meta description has ", _size(_description))),
+    Rule("MISSING_CANONICAL", "canonical", "WARNING", "HEAD", "head", lambda x: _canonical(True).isNull()),
+    Rule("EMPTY_CANONICAL", "canonical", "WARNING", "HEAD", "head", lambda x: _canonical(True) == ""),
+    Rule("MISSING_CHARSET", "meta_charset", "CRITICAL", "HEAD", "head", lambda x: ~F.exists("metas", lambda m: m["in_head"] & m["attrs"]["charset"].isNotNull())),
+    Rule("MISSING_VIEWPORT", "meta_viewport", "CRITICAL", "HEAD", "head", lambda x: _meta("name", "viewport", True).isNull()),
+    Rule("MISSING_H1", "h1", "CRITICAL", "HEADINGS", "page", lambda x: F.col("has_body") & ~F.exists("headings", lambda h: h["level"] == 1)),
+    Rule("MISSING", "doctype", "CRITICAL", "HTML", "page", lambda x: ~F.col("has_doctype"), strict=True),
+    Rule("MISSING_ROOT", "html", "CRITICAL", "HTML", "page", lambda x: ~F.col("has_root"), strict=True),
+    Rule("EMPTY_H1", "h1", "CRITICAL", "CONTENT", "h1", lambda h: (h["text"] == "") & ~h["direct_img"]),
+    Rule("MISSING_ALT", "image", "CRITICAL", "CONTENT", "image", lambda i: i["alt"].isNull()),
+    Rule("EMPTY_ALT", "image", "WARNING", "CONTENT", "image", lambda i: F.trim(i["alt"]) == ""),
+    Rule("MISSING_SRC", "image", "CRITICAL", "TECHNICAL", "image", lambda i: F.coalesce(i["src"], F.lit("")) == ""),
+    Rule("CRITICAL_BASE64_BLOAT", "image", "CRITICAL", "PERFORMANCE", "image", lambda i: _kilobytes(i) > 100),
+    Rule("LARGE_BASE64_IMG", "image", "WARNING", "PERFORMANCE", "image", lambda i: (_kilobytes(i) > 20) & (_kilobytes(i) <= 100)),
+    Rule("EMPTY_HREF", "anchor", "WARNING", "LINKS", "link", lambda a: a["bare"] == ""),
+    Rule("URL_TOO_LONG", "anchor", "WARNING", "LINKS", "link", lambda a: F.length(a["bare"]) > 200, _says("URL has ", lambda a: F.length(a["href"]))),
+    Rule("BROKEN_LINK", "anchor", "CRITICAL", "LINKS", "link", lambda a: a["status"] == 404),
+    Rule("HTTP_ERROR", "anchor", "WARNING", "LINKS", "link", lambda a: (a["status"] >= 400) & (a["status"] != 404), lambda a: F.concat(F.lit("Link answers with "), a["status"].cast("string"))),
+    Rule("URL_SPACE", "anchor", "WARNING", "SEO", "link", lambda a: a["inside"] & (a["path"].contains("%20") | a["path"].contains(" "))),
+    Rule("URL_UPPERCASE", "anchor", "INFO", "SEO", "link", lambda a: a["inside"] & a["path"].rlike(r"\p{Lu}")),
+    Rule("URL_UNDERSCORE", "anchor", "INFO", "SEO", "link", lambda a: a["inside"] & a["path"].contains("_")),
+    Rule("URL_UNSAFE_CHAR", "anchor", "WARNING", "SEO", "link", lambda a: a["inside"] & a["path"].rlike(r"[(),;~'+\[\]*]")),
+    Rule("URL_DOUBLE_SLASH", "anchor", "WARNING", "SEO", "link", lambda a: a["inside"] & a["path"].contains("//")),
+]
+_ISSUES = "array<struct<issue_code:string,element_type:string,severity:string,category:string,message:string>>"
+#: Over how many tasks the links to one URL are spread when they meet its status.
+LINK_SALTS = 16
+
+
+def rule_catalogue(spark, rules: list[Rule] = RULES) -> DataFrame:
+    """(issue_code, element_type, severity, category, strict) of the declared rules."""
+    return spark.createDataFrame([(r.code, r.element, r.severity, r.category, r.strict) for r in rules], "issue_code string, element_type string, severity string, category string, strict boolean")
+
+
+def issues(facts: DataFrame, statuses: DataFrame | None = None, strict: bool = False, rules: list[Rule] = RULES) -> DataFrame:
     """(page_id, url, issue_code, element_type, severity, category, message): every rule that a page breaks.
 
     Head rules apply to pages with a head. statuses: (id, url, status_code), for
     links to broken pages; a URL has the status of its row of greatest id. strict
-    adds the rule on the missing doctype.
+    adds the rules on the doctype and the root element.
     """
-    title, meta, canonical = F.col("head_title"), _meta("name", "description", True), _canonical(True)
-    size, length = F.length(title), F.length(meta)
-    h1 = F.filter("headings", lambda h: h["level"] == 1)
-    charset = F.exists("metas", lambda m: m["in_head"] & m["attrs"]["charset"].isNotNull())
-    head = [
-        _issue(title.isNull(), "MISSING_TITLE", "title", "CRITICAL", "HEAD"),
-        _issue(title == "", "EMPTY_TITLE", "title", "CRITICAL", "HEAD"),
-        _issue((size > 0) & (size < 10), "TITLE_TOO_SHORT", "title", "WARNING", "HEAD", F.concat(F.lit("Title has "), size, F.lit(" characters"))),
-        _issue(size > 60, "TITLE_TOO_LONG", "title", "WARNING", "HEAD", F.concat(F.lit("Title has "), size, F.lit(" characters: "), F.left(title, F.lit(50)))),
-        _issue(meta.isNull(), "MISSING_META_DESC", "meta_description", "WARNING", "HEAD"),
-        _issue(meta == "", "EMPTY_META_DESC", "meta_description", "WARNING", "HEAD"),
-        _issue((length > 0) & (length < 50), "META_DESC_TOO_SHORT", "meta_description", "INFO", "HEAD"),
-        _issue(length > 160, "META_DESC_TOO_LONG", "meta_description", "INFO", "HEAD"),
-        _issue(canonical.isNull(), "MISSING_CANONICAL", "canonical", "WARNING", "HEAD"),
-        _issue(canonical == "", "EMPTY_CANONICAL", "canonical", "WARNING", "HEAD"),
-        _issue(~charset, "MISSING_CHARSET", "meta_charset", "CRITICAL", "HEAD"),
-        _issue(_meta("name", "viewport", True).isNull(), "MISSING_VIEWPORT", "meta_viewport", "CRITICAL", "HEAD"),
-    ]
-    page = [_issue(F.col("has_body") & (F.size(h1) == 0), "MISSING_H1", "h1", "CRITICAL", "HEADINGS")]
-    if strict:
-        page.append(_issue(~F.col("has_doctype"), "MISSING", "doctype", "CRITICAL", "HTML"))
-    empty = F.transform(F.filter(h1, lambda h: (h["text"] == "") & ~h["direct_img"]), lambda h: _issue(F.lit(True), "EMPTY_H1", "h1", "CRITICAL", "CONTENT"))
-    by_head = F.when(F.col("has_head"), F.array(*head)).otherwise(F.array().cast("array<struct<issue_code:string,element_type:string,severity:string,category:string,message:string>>"))
-    whole = facts.select("page_id", "url", F.explode(F.filter(F.concat(by_head, F.array(*page), empty), lambda i: i.isNotNull())).alias("i"))
-
-    alt, src = F.col("m")["alt"], F.coalesce(F.col("m")["src"], F.lit(""))
-    kilobytes = F.length(src) / 1024
-    image = [
-        _issue(alt.isNull(), "MISSING_ALT", "image", "CRITICAL", "CONTENT"),
-        _issue(F.trim(alt) == "", "EMPTY_ALT", "image", "WARNING", "CONTENT"),
-        _issue(src == "", "MISSING_SRC", "image", "CRITICAL", "TECHNICAL"),
-        _issue(F.startswith(src, F.lit("data:image")) & (kilobytes > 100), "CRITICAL_BASE64_BLOAT", "image", "CRITICAL", "PERFORMANCE"),
-        _issue(F.startswith(src, F.lit("data:image")) & (kilobytes > 20) & (kilobytes <= 100), "LARGE_BASE64_IMG", "image", "WARNING", "PERFORMANCE"),
-    ]
-    of_images = facts.select("page_id", "url", F.explode("images").alias("m")).select("page_id", "url", F.explode(F.filter(F.array(*image), lambda i: i.isNotNull())).alias("i"))
+    used = [r for r in rules if strict or not r.strict]
+    of = lambda scope, x=None: F.array(*[r.issue(x) for r in used if r.scope == scope]).cast(_ISSUES)
+    each = lambda scope, items: F.flatten(F.transform(items, lambda x: of(scope, x)))
+    page = F.concat(
+        F.when(F.col("has_head"), of("head")).otherwise(F.array().cast(_ISSUES)),
+        of("page"),
+        each("h1", F.filter("headings", lambda h: h["level"] == 1)),
+        each("image", F.col("images")),
+    )
+    kept = lambda found: F.explode(F.filter(found, lambda i: i.isNotNull())).alias("i")
+    whole = facts.select("page_id", "url", kept(page))
 
     href = F.col("a.attrs.href")
     bare = F.trim(href)
-    links = facts.select("page_id", "url", F.explode("anchors").alias("a")).where(href.isNotNull())
-    target = urls.without_fragment(urls.joined(F.col("url"), bare))
+    links = facts.select("page_id", "url", F.explode("anchors").alias("a")).where(href.isNotNull()).select("page_id", "url", href.alias("href"), bare.alias("bare"))
     if statuses is not None:
-        known = statuses.where("url IS NOT NULL").groupBy(F.col("url").alias("t")).agg(F.max_by("status_code", "id").alias("status"))
-        links = links.withColumn("t", target).join(known, "t", "left")
+        last = statuses.where("url IS NOT NULL").groupBy(F.col("url").alias("t")).agg(F.max_by("status_code", "id").alias("status"))
+        bad = last.where("status >= 400").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(LINK_SALTS - 1))))
+        target, salt = urls.without_fragment(urls.joined(F.col("url"), F.col("bare"))), F.pmod(F.xxhash64("page_id", "bare"), F.lit(LINK_SALTS)).cast("int")
+        links = links.withColumn("t", target).withColumn("salt", salt).join(bad, ["t", "salt"], "left")
     else:
         links = links.withColumn("status", F.lit(None).cast("int"))
+    bare = F.col("bare")
     inside = (bare != "") & ~bare.rlike(r"(?i)^(?:#|mailto:|tel:|javascript:)") & (urls.link_kind(F.col("url"), bare) != "external")
-    path = urls.path(bare)
-    link = [
-        _issue(bare == "", "EMPTY_HREF", "anchor", "WARNING", "LINKS"),
-        _issue(F.length(bare) > 200, "URL_TOO_LONG", "anchor", "WARNING", "LINKS", F.concat(F.lit("URL has "), F.length(href), F.lit(" characters"))),
-        _issue(F.col("status") == 404, "BROKEN_LINK", "anchor", "CRITICAL", "LINKS"),
-        _issue((F.col("status") >= 400) & (F.col("status") != 404), "HTTP_ERROR", "anchor", "WARNING", "LINKS"),
-        _issue(inside & (path.contains("%20") | path.contains(" ")), "URL_SPACE", "anchor", "WARNING", "SEO"),
-        _issue(inside & path.rlike(r"\p{Lu}"), "URL_UPPERCASE", "anchor", "INFO", "SEO"),
-        _issue(inside & path.contains("_"), "URL_UNDERSCORE", "anchor", "INFO", "SEO"),
-        _issue(inside & path.rlike(r"[(),;~'+\[\]*]"), "URL_UNSAFE_CHAR", "anchor", "WARNING", "SEO"),
-        _issue(inside & path.contains("//"), "URL_DOUBLE_SLASH", "anchor", "WARNING", "SEO"),
-    ]
-    of_links = links.select("page_id", "url", F.explode(F.filter(F.array(*link), lambda i: i.isNotNull())).alias("i"))
-    return whole.unionAll(of_images).unionAll(of_links).select("page_id", "url", "i.*")
+    link = links.select("page_id", "url", F.struct("href", "bare", "status", inside.alias("inside"), urls.path(bare).alias("path")).alias("x"))
+    return whole.unionAll(link.select("page_id", "url", kept(of("link", F.col("x"))))).select("page_id", "url", "i.*")
 
 
 def without_ignored(found: DataFrame, ignored: list[str]) -> DataFrame:

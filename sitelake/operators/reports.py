@@ -55,6 +55,16 @@ def page_metrics(pages: DataFrame, links: DataFrame, requests: DataFrame) -> Dat
     )
 
 
+def page_report(pages: DataFrame, links: DataFrame, requests: DataFrame, facts: DataFrame) -> DataFrame:
+    """page_metrics with what facts (page_facts) says of each page: lengths, images, canonical. broken_img_ratio is null, as no table tells which images are broken."""
+    counts = ("title_length", "meta_desc_length", "h1_length", "total_images", "missing_alt_tags", "has_canonical")
+    both = page_metrics(pages, links, requests).join(facts, "page_id", "left")
+    return both.select(
+        "page_id", "url", *[F.coalesce(c, F.lit(0)).alias(c) for c in counts], F.coalesce("missing_alt_ratio", F.lit(0.0)).alias("missing_alt_ratio"),
+        "internal_links", "external_links", "incoming_links", "word_count", "server_time", F.lit(None).cast("double").alias("broken_img_ratio"),
+    )
+
+
 def page_severities(pages: DataFrame, issues: DataFrame) -> DataFrame:
     """(page_id, url, critical, warning, info, total) for every page."""
     per = issues.where("page_id IS NOT NULL").groupBy("page_id").agg(*[F.count_if(severity() == s).alias(s.lower()) for s in SEVERITIES], F.count(F.lit(1)).alias("total"))
@@ -91,20 +101,43 @@ def crawl_kpis(pages: DataFrame, requests: DataFrame) -> DataFrame:
     return both.select("total_requests", "total_pages", F.round(seconds, 3).alias("seconds"), F.round(F.col("total_pages") / seconds, 6).alias("pages_per_second"), "mean_kb")
 
 
+def exact_quantiles(counts: DataFrame, key: str, value: str, n: str, at: dict[str, float]) -> DataFrame:
+    """(key, a column for each name of `at`): quantiles of (key, value, n), interpolated between neighbours.
+
+    Different values are added up in their order, so that a key needs no buffer of its values.
+    """
+    rows = counts.groupBy(key, value).agg(F.sum(n).alias("__n"))
+    order = W.partitionBy(key).orderBy(value)
+    total = rows.groupBy(key).agg(F.sum("__n").alias("__total"))
+    run = rows.withColumn("__upto", F.sum("__n").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))).join(total, key)
+    position = {name: F.lit(p) * (F.col("__total") - 1) for name, p in at.items()}
+    rank = lambda r: F.min(F.when(F.col("__upto") > r, F.col(value).cast("double")))
+    ends = [(rank(F.floor(x)).alias(f"__{i}_low"), rank(F.ceil(x)).alias(f"__{i}_high"), F.first(x - F.floor(x)).alias(f"__{i}_part")) for i, x in enumerate(position.values())]
+    found = run.groupBy(key).agg(*[c for three in ends for c in three])
+    between = lambda i: F.col(f"__{i}_low") + (F.col(f"__{i}_high") - F.col(f"__{i}_low")) * F.col(f"__{i}_part")
+    return found.select(key, *[between(i).alias(name) for i, name in enumerate(at)])
+
+
 def latency_stats(requests: DataFrame) -> DataFrame:
-    """(project_id, n, least, mean, median, p95, most, jitter) of valid elapsed times."""
-    ok = requests.where("elapsed_time IS NOT NULL AND NOT isnan(elapsed_time) AND elapsed_time >= 0")
+    """(project_id, sent, n, loss_percent, least, mean, median, p95, most, jitter): all requests, and of those with a valid time its statistics. Projects without one have none."""
     t = "elapsed_time"
+    valid = F.col(t).isNotNull() & ~F.isnan(t) & (F.col(t) >= 0)
+    ok = requests.where(valid)
     r = lambda c, name: F.round(c, 6).alias(name)
-    return ok.groupBy("project_id").agg(
-        F.count(F.lit(1)).alias("n"), r(F.min(t), "least"), r(F.avg(t), "mean"), r(F.percentile(t, 0.5), "median"), r(F.percentile(t, 0.95), "p95"), r(F.max(t), "most"), r(F.stddev_samp(t), "jitter")
-    )
+    time = F.when(valid, F.col(t))
+    sums = requests.groupBy("project_id").agg(F.count(F.lit(1)).alias("sent"), F.count(time).alias("n"), r(F.min(time), "least"), r(F.avg(time), "mean"), r(F.max(time), "most"), r(F.stddev_samp(time), "jitter"))
+    counts = ok.groupBy("project_id", t).agg(F.count(F.lit(1)).alias("n"))
+    middle = exact_quantiles(counts, "project_id", t, "n", {"median": 0.5, "p95": 0.95}).withColumnRenamed("project_id", "p")
+    both = sums.where("n > 0").join(middle, F.col("project_id").eqNullSafe(F.col("p")))
+    return both.select("project_id", "sent", "n", F.round(100 * (F.col("sent") - F.col("n")) / F.col("sent"), 4).alias("loss_percent"), "least", "mean", r(F.col("median"), "median"), r(F.col("p95"), "p95"), "most", "jitter")
 
 
 def outlier_threshold(counts: DataFrame, key: str, value: str) -> DataFrame:
-    """(key, threshold): ceil(median + 3 * 1.4826 * MAD + 2), or ceil(2.5 * median) where the MAD is 0."""
-    med = counts.groupBy(key).agg(F.median(value).alias("med"))
-    mad = counts.join(med, key).groupBy(key).agg(F.first("med").alias("med"), F.median(F.abs(F.col(value) - F.col("med"))).alias("mad"))
+    """(key, threshold): ceil(median + 3 * 1.4826 * MAD + 2), or ceil(2.5 * median) where the MAD is 0. Null keys and values are left out."""
+    sizes = counts.where(F.col(key).isNotNull() & F.col(value).isNotNull()).groupBy(key, value).agg(F.count(F.lit(1)).alias("__count"))
+    med = exact_quantiles(sizes, key, value, "__count", {"med": 0.5})
+    apart = sizes.join(med, key).select(key, F.abs(F.col(value) - F.col("med")).alias("apart"), "__count")
+    mad = exact_quantiles(apart, key, "apart", "__count", {"mad": 0.5}).join(med, key)
     rule = F.when(F.col("mad") == 0, F.ceil(2.5 * F.col("med"))).otherwise(F.ceil(F.col("med") + 3 * 1.4826 * F.col("mad") + 2))
     return mad.select(key, rule.alias("threshold"))
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("skew_and_nested", "crawl")
+MODULES = ("skew_and_nested", "crawl", "site")
 FLAGSHIP = "page_overview"
 
 

@@ -90,6 +90,11 @@ def query_row_count(spark, root):
 
 
 # joins and reports
+_PARTS = r"'^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)'"
+_SEGMENTS = (
+    f"list_filter(string_split(url_decode(regexp_replace(regexp_extract(url, {_PARTS}, 3), '^/+|/+$', '', 'g')) || "
+    r"CASE WHEN regexp_extract(url, '^[^?#]*\?([^#]*)', 1) <> '' THEN '?' || regexp_extract(url, '^[^?#]*\?([^#]*)', 1) ELSE '' END, '/'), lambda x: x <> '')"
+)
 _SEV = "CASE WHEN upper(trim(severity)) IN ('INFO', 'WARNING', 'CRITICAL') THEN upper(trim(severity)) ELSE 'INFO' END"
 _RANK = f"CASE {_SEV} WHEN 'CRITICAL' THEN 3 WHEN 'WARNING' THEN 2 ELSE 1 END"
 
@@ -198,7 +203,7 @@ def hidden_filter(spark, root):
 
 @query(
     f"""WITH s AS ({_SEVERITIES}),
-    p AS (SELECT *, list_filter(string_split(url_decode(regexp_extract(url, '^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)', 3)), '/'), lambda x: x <> '') AS seg FROM s WHERE url IS NOT NULL),
+    p AS (SELECT *, {_SEGMENTS} AS seg FROM s WHERE url IS NOT NULL),
     e AS (SELECT unnest(list_transform(range(len(seg) + 1), lambda i: '/' || array_to_string(seg[1:i], '/'))) AS prefix, critical, warning, info FROM p)
     SELECT prefix, count(*) AS pages, CAST(sum(critical) AS BIGINT) AS critical, CAST(sum(warning) AS BIGINT) AS warning, CAST(sum(info) AS BIGINT) AS info FROM e GROUP BY prefix"""
 )
@@ -229,8 +234,9 @@ _VALID = "elapsed_time IS NOT NULL AND NOT isnan(elapsed_time) AND elapsed_time
 
 
 @query(
-    f"""SELECT project_id, count(*) AS n, round(min(elapsed_time), 6) AS least, round(avg(elapsed_time), 6) AS mean, round(median(elapsed_time), 6) AS median,
-    round(quantile_cont(elapsed_time, 0.95), 6) AS p95, round(max(elapsed_time), 6) AS most, round(stddev_samp(elapsed_time), 6) AS jitter FROM requests WHERE {_VALID} GROUP BY project_id"""
+    f"""SELECT project_id, count(*) AS sent, count(t) AS n, round(100 * (count(*) - count(t)) / count(*), 4) AS loss_percent, round(min(t), 6) AS least, round(avg(t), 6) AS mean,
+    round(median(t), 6) AS median, round(quantile_cont(t, 0.95), 6) AS p95, round(max(t), 6) AS most, round(stddev_samp(t), 6) AS jitter
+    FROM (SELECT project_id, CASE WHEN {_VALID} THEN elapsed_time END AS t FROM requests) GROUP BY project_id HAVING count(t) > 0"""
 )
 def latency_stats(spark, root):
     return reports.latency_stats(table(spark, root, "requests", "project_id", "elapsed_time"))
@@ -265,7 +271,6 @@ def append_dedup(spark, root):
 
 
 # URLs
-_PARTS = r"'^(?:([^:/?#]+):)?(?://([^/?#]*))?([^?#]*)'"
 _HOST = f"lower(regexp_extract({{}}, {_PARTS}, 2))"
 
 
@@ -275,7 +280,7 @@ def url_normalize(spark, root):
     return table(spark, root, "links", "id", "target_url").select("id", urls.host(u).alias("host"), urls.without_fragment(u).alias("no_fragment"), urls.without_query(u).alias("no_query"), urls.without_end_slash(u).alias("no_slash"))
 
 
-@query(f"SELECT id, array_to_string(list_filter(string_split(url_decode(regexp_extract(url, {_PARTS}, 3)), '/'), lambda x: x <> ''), '|') AS segments FROM pages")
+@query(f"SELECT id, array_to_string({_SEGMENTS}, '|') AS segments FROM pages")
 def url_segments(spark, root):
     return table(spark, root, "pages", "id", "url").select("id", F.array_join(urls.segments(F.col("url")), "|").alias("segments"))
 

@@ -45,6 +45,24 @@ def write_csv(df: DataFrame, folder: str) -> None:
     flat(df).write.mode("overwrite").option("header", True).option("escape", '"').csv(folder)
 
 
+def column_widths(df: DataFrame, most: int = 100) -> DataFrame:
+    """(column_name, width) of a sheet: its longest text and two more, `most` at most."""
+    longest = [F.greatest(F.lit(len(c)), F.coalesce(F.max(F.length(F.col(c).cast("string"))), F.lit(0))).alias(c) for c in df.columns]
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.least(F.col(c) + 2, F.lit(most)).alias("width")) for c in df.columns])
+    return df.agg(*longest).select(F.explode(pairs).alias("p")).select("p.*")
+
+
+def write_sheets(sheets: dict[str, DataFrame], folder: str) -> None:
+    """Each sheet of a workbook as a CSV folder, with one of the widths of all."""
+    widths = None
+    for name, df in sheets.items():
+        write_csv(df, f"{folder}/{name}")
+        own = column_widths(flat(df)).select(F.lit(name).alias("sheet"), "*")
+        widths = own if widths is None else widths.unionAll(own)
+    if widths is not None:
+        write_csv(widths, f"{folder}/widths")
+
+
 def report_rows(df: DataFrame, lib: str, category: str, name: str) -> DataFrame:
     """(lib, category, name, data): each row as a JSON text, for the table of reports."""
     return df.select(F.lit(lib).alias("lib"), F.lit(category).alias("category"), F.lit(name).alias("name"), F.to_json(F.struct("*")).alias("data"))

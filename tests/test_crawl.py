@@ -50,7 +50,7 @@ def test_rules(spark):
     counts = [r["issue_code"] for r in html.issues(facts(spark, PAGE)).collect()]
     assert counts.count("EMPTY_H1") == 1 and counts.count("URL_UPPERCASE") == 1
     bare = {r["issue_code"] for r in html.issues(facts(spark, "<body><p>x"), strict=True).collect()}
-    assert bare == {"MISSING_H1", "MISSING"}
+    assert bare == {"MISSING_H1", "MISSING", "MISSING_ROOT"}
     assert facts(spark, None, "").count() == 0
 
 
