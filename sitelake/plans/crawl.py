@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sitelake.functions import urls
 from sitelake.operators import graph, html, ngrams, reports, search
+from sitelake.sources.tables import read_spread
 from sitelake.sources.tables import read_table as table
 
 QUERIES: dict = {}
@@ -315,7 +316,7 @@ _STOP = ", ".join(f"'{w}'" for w in ngrams.STOP_WORDS)
 
 
 def _texts(spark, root):
-    return table(spark, root, "htmldocument", "page_id", "body_text").toDF("id", "text")
+    return read_spread(spark, root, "htmldocument", "page_id", "body_text").toDF("id", "text")
 
 
 @query(f"SELECT word, count(*) AS n FROM (SELECT unnest({_WORDS}) AS word FROM htmldocument) GROUP BY word")
@@ -407,7 +408,7 @@ def bfs_levels(spark, root):
 
 # HTML: tested on fixtures, as SQL has no parser
 def _facts(spark, root):
-    return html.parse_pages(table(spark, root, "pages", "id", "url", "content"))
+    return html.parse_pages(read_spread(spark, root, "pages", "id", "url", "content"))
 
 
 @query()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitelake.operators import nested, skew
-from sitelake.sources.tables import read_table
+from sitelake.sources.tables import read_spread, read_table
 
 _COLUMNS = ("id", "source_url", "target_url")
 
@@ -23,8 +23,8 @@ def p1_neighbour_counts(spark, root):
 
 
 def _nested(spark, root, form):
-    requests = read_table(spark, root, "requests", "id", "redirect_chain", "headers", "timers")
-    return nested.nested_fields(requests, read_table(spark, root, "audit_issues", "id", "details"), form)
+    requests = read_spread(spark, root, "requests", "id", "redirect_chain", "headers", "timers")
+    return nested.nested_fields(requests, read_spread(spark, root, "audit_issues", "id", "details"), form)
 
 
 def p6_found(spark, root):
