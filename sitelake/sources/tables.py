@@ -24,7 +24,7 @@ def read_spread(spark: SparkSession, root: str, name: str, *columns: str) -> Dat
     """
     df = read_table(spark, root, name, *columns)
     cores = spark.sparkContext.defaultParallelism
-    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) < SMALL_BYTES and 0 < len(df.inputFiles()) < cores:
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) < SMALL_BYTES and 0 < len(df.inputFiles()) < cores:
         return df.repartition(cores, df.columns[0])
     return df
 
