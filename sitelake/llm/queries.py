@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitelake.llm import canonical, encoding, main_content, neardup, packing, pii, quantiles, tokenize
-from sitelake.sources.tables import read_table
+from sitelake.sources.tables import read_spread, read_table
 
 
 def p2_found(spark, root):
@@ -20,7 +20,7 @@ def p2_percentiles(spark, root):
 
 
 def _contents(spark, root):
-    return read_table(spark, root, "pages", "id", "content").toDF("id", "text")
+    return read_spread(spark, root, "pages", "id", "content").toDF("id", "text")
 
 
 def p3_found(spark, root):
@@ -41,7 +41,7 @@ def p5_texts(spark, root):
 
 
 def _body_texts(spark, root):
-    return read_table(spark, root, "htmldocument", "page_id", "body_text").toDF("id", "text")
+    return read_spread(spark, root, "htmldocument", "page_id", "body_text").toDF("id", "text")
 
 
 def p4_found(spark, root):
@@ -74,7 +74,7 @@ def p7_collapsed(spark, root):
 
 
 def p8_ids(spark, root):
-    return tokenize.encode_documents(read_table(spark, root, "documents", "doc_id", "text"))
+    return tokenize.encode_documents(read_spread(spark, root, "documents", "doc_id", "text"))
 
 
 def p8_texts(spark, root):
@@ -83,15 +83,15 @@ def p8_texts(spark, root):
 
 
 def p9_found(spark, root):
-    return packing.split_documents(read_table(spark, root, "documents", "doc_id", "text"))
+    return packing.split_documents(read_spread(spark, root, "documents", "doc_id", "text"))
 
 
 def p9_containers(spark, root):
-    return packing.pack_documents(read_table(spark, root, "documents", "doc_id", "text"))
+    return packing.pack_documents(read_spread(spark, root, "documents", "doc_id", "text"))
 
 
 def _documents_and_names(spark, root):
-    return read_table(spark, root, "documents", "doc_id", "text"), read_table(spark, root, "given_names", "given_name")
+    return read_spread(spark, root, "documents", "doc_id", "text"), read_table(spark, root, "given_names", "given_name")
 
 
 def p10_found(spark, root):
