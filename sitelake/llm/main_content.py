@@ -10,15 +10,19 @@ that is dropped.
 The trees are fitted on a bounded sample of pages whose own markup says where
 the content is (main, article, nav, aside, footer, roles and class names). In a
 copy of each labelled block the attribute features are hidden, so that the trees
-also learn to decide by structure and text where the markup says nothing.
+also learn to decide by structure and text where the markup says nothing. What
+words tell is learnt from the same pages: each word and pair of words has odds to
+stand in content, and a block, its neighbours and its container have those of
+their words. No phrases are given.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_right
-from itertools import accumulate
+import unicodedata
+import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,31 +46,30 @@ BOILER_TOKENS = frozenset(
     "nav navigation menu hoofdmenu header kopf banner footer fuss fusszeile voet contentinfo sidebar zijbalk aside complementary related more lees ook notice overlay dialog cookie "
     "consent cc ad ads advert promo social share subscribe newsletter breadcrumb breadcrumbs list pied barre search".split()
 )
-WORD_FLAGS = {
-    "cookie": ("cookie", "tracker", "identifiers for", "small files", "kleine dateien", "kleine bestanden", "petits fichiers"),
-    "copyright": ("©", "all rights reserved", "rechten voorbehouden", "rechte vorbehalten", "droits réservés", "derechos reservados", "®", " · "),
-    "terms": (
-        "terms", "privacy", "imprint", "prices include", "opening hours", "delivery of", "trading name", "voorwaarden", "levering", "es gelten", "bedingungen", "lieferung",
-        "conditions valent", "livraison", "condiciones", "regulamin",
-    ),
-    "call": (
-        "like this?", "pass it on", "share /", "teilen sie dies", "merken sie sich", "deel dit", "partagez ceci", "compártelo", "udostępnij", "поделитесь", "partilhe",
-        "never miss", "join the ", "subscribe", "sign up", "verpassen sie", "abonn", "mis geen", "ne manquez", "suscríb", "no te pierdas", "zapisz się",
-        "advertisement", "sponsored", "anzeige:", "advertentie", "publicité", "publicidad", "anuncio", "reklama", "реклама", "διαφήμιση",
-    ),
-}
+#: Buckets of words and pairs of words, the weight of a word never met, and the odds below which the words of a block inside the content speak against it.
+BUCKETS, PRIOR, DOUBT = 1 << 16, 2.0, -1.2
+
+#: Seeds of the labels only, no features: words by which short blocks ask to share, subscribe or buy, or claim rights, which no markup tells apart from content.
+CALL_WORDS = (
+    "subscribe|sign up|join the|never miss|pass it on|like this|share this|share /|follow us|advertisement|sponsored|all rights reserved|© ?[0-9]"
+    "|abonnieren|teilen sie|folgen sie|anzeige:|werbung|rechte vorbehalten|abonneer|schrijf u in|deel dit|volg ons|advertentie|rechten voorbehouden"
+    "|abonnez|inscrivez-vous|partagez|suivez-nous|publicité|droits réservés|suscríb|compártelo|comparte esto|síguenos|publicidad|derechos reservados|anuncio"
+    "|zapisz się|udostępnij|obserwuj|reklama|prawa zastrzeżone|подпиш|поделитесь|реклама|partilhe|subscreva|εγγραφ|διαφήμιση|μοιραστείτε"
+)
+_CALL = re.compile(CALL_WORDS)
+#: A call is shorter than this.
+CALL_LENGTH = 220
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<script\b.*?(?:</script\s*>|\Z)|<style\b.*?(?:</style\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:"[^"<>]*"|'[^'<>]*'|[^'"<>]++|["'])*+)>""", re.S | re.I)
 _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _TOKEN = re.compile(r"[a-z]+")
-_SAID = [(w, i) for i, words in enumerate(WORD_FLAGS.values()) for w in words]
 KINDS = ("h1", "h2", "h3", "p", "li", "blockquote", "pre", "dt", "dd")
 
 
 class Node:
     """A container: its place in the tree and sums over its own blocks, later also over those below."""
 
-    __slots__ = ("tag", "parent", "depth", "main", "boiler", "text", "link", "links", "blocks", "h1", "heads", "paras", "items", "flags", "order", "loose", "semantic", "children")
+    __slots__ = ("tag", "parent", "depth", "main", "boiler", "text", "link", "links", "blocks", "h1", "heads", "paras", "items", "order", "loose", "semantic", "children")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str, order: int):
         self.tag, self.parent, self.order = tag, parent, order
@@ -80,7 +83,7 @@ class Node:
             tokens = {t for m in _ATTR.finditer(attributes) for t in _TOKEN.findall((m[2] or m[3] or m[4] or "").lower())}
             self.main, self.boiler = len(tokens & MAIN_TOKENS), len(tokens & BOILER_TOKENS)
         self.semantic = SEMANTIC.get(tag, 0)
-        self.text = self.link = self.links = self.blocks = self.h1 = self.heads = self.paras = self.items = self.flags = self.loose = self.children = 0
+        self.text = self.link = self.links = self.blocks = self.h1 = self.heads = self.paras = self.items = self.loose = self.children = 0
 
 
 class Block:
@@ -160,11 +163,12 @@ def _holder(node: Node) -> Node:
     return node
 
 
-_OF_BLOCK = ("length", "words", "link_share", "links", "sentence", "listing", "star", *[f"says_{k}" for k in WORD_FLAGS], "place", "from_h1", "with_h1")
-_OF_NODE = ("blocks", "text", "text_share", "link_share", "links", "h1", "heads", "paras", "items", "flags", "depth", "place", "loose", "cell", "siblings", "mean_text", "main", "boiler", "semantic")
+_OF_BLOCK = ("length", "words", "link_share", "links", "sentence", "listing", "symbol", "place", "from_h1", "with_h1")
+_OF_NODE = ("blocks", "text", "text_share", "link_share", "links", "h1", "heads", "paras", "items", "depth", "place", "loose", "cell", "siblings", "mean_text", "main", "boiler", "semantic")
 _LEVELS = ("own", "in", "above")
-NAMES = [*[f"is_{k}" for k in KINDS], *_OF_BLOCK, *[f"{w}_{n}" for w in _LEVELS for n in _OF_NODE], "any_main", "any_boiler", "any_semantic"]
-ATTRIBUTES = [i for i, n in enumerate(NAMES) if n.split("_")[-1] in ("main", "boiler", "semantic")]
+NAMES = [*[f"is_{k}" for k in KINDS], *_OF_BLOCK, *[f"{w}_{n}" for w in _LEVELS for n in _OF_NODE], "any_main", "any_boiler", "any_semantic", "odds", "odds_least", "odds_before", "odds_behind", "odds_around"]
+ODDS = 5  # the last features, which follow from the others' words
+ATTRIBUTES = [i for i, n in enumerate(NAMES) if n.split("_")[-1] in ("main", "boiler", "semantic")]  # hidden in a copy of each labelled block
 _KIND = {k: i for i, k in enumerate(KINDS)} | {"h4": 2, "h5": 2, "h6": 2}
 
 
@@ -181,32 +185,49 @@ def _words(text: str) -> list[str]:
     return (html.unescape(text) if "&" in text else text).split()
 
 
-_NONE = (False,) * len(WORD_FLAGS)
-
-
-def _flags(texts: list[str]) -> list[tuple[bool, ...]]:
-    """Which groups of WORD_FLAGS each text has a word of; the texts of a page are searched in one go."""
-    whole = "\n".join(texts).lower()
-    if len(whole) != sum(map(len, texts)) + len(texts) - 1:  # a letter whose lower case is longer
-        parts = [t.lower() for t in texts]
-        whole = "\n".join(parts)
-    else:
-        parts = texts
-    found: dict[int, set[int]] = {}
-    starts = None
-    for word, group in _SAID:
-        at = whole.find(word)
-        while at >= 0:
-            if starts is None:
-                starts = list(accumulate((len(t) + 1 for t in parts), initial=0))
-            i = bisect_right(starts, at) - 1
-            found.setdefault(i, set()).add(group)
-            at = whole.find(word, starts[i + 1])
-    return [tuple(g in found[i] for g in range(len(WORD_FLAGS))) if i in found else _NONE for i in range(len(texts))]
-
-
-def features(texts: list[str]) -> tuple[np.ndarray, list[Page]]:
-    """Feature rows of the blocks of several pages, in order, and the pages."""
+@lru_cache(1 << 17)
+def _bucket(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
+
+
+class Words:
+    """The words of blocks as buckets, flat, with each block's offsets, and the container of each block."""
+
+    def __init__(self, split: list[list[str]], homes: np.ndarray):
+        single = np.fromiter((_bucket(w.lower()) for words in split for w in words), np.int64, sum(map(len, split)))
+        counts = np.fromiter(map(len, split), np.int64, len(split))
+        of = np.repeat(np.arange(len(split)), counts)
+        pair = np.flatnonzero(of[1:] == of[:-1])
+        both = np.concatenate([single, (single[pair] * 1_000_003 + single[pair + 1]) ^ 0x5BD1])
+        self.bucket, self.block, self.n, self.homes = both % BUCKETS, np.concatenate([of, of[pair]]), len(split), homes
+
+    def odds(self, table: np.ndarray, page: np.ndarray) -> np.ndarray:
+        """(blocks, ODDS): mean and least odds of a block's words, and the mean ones of its neighbours on the page and of its container."""
+        values = table[self.bucket]
+        counts = np.bincount(self.block, minlength=self.n)
+        mean = np.bincount(self.block, values, self.n) / (counts + 2.0)  # a few words say little
+        least = np.zeros(self.n)
+        np.minimum.at(least, self.block, values)
+        before, behind = np.zeros(self.n), np.zeros(self.n)
+        same = page[1:] == page[:-1]
+        before[1:][same], behind[:-1][same] = mean[:-1][same], mean[1:][same]
+        _, home = np.unique(self.homes, return_inverse=True)
+        around = (np.bincount(home, mean) / np.bincount(home))[home] if self.n else mean
+        return np.stack([mean, least, before, behind, around], axis=1).astype(np.float32)
+
+    def learn(self, labels: np.ndarray, use: np.ndarray) -> np.ndarray:
+        """Log odds of each bucket for content, from the labelled blocks in `use`; a word counts once a block."""
+        chosen = use[self.block]
+        pairs = np.unique(np.stack([self.block[chosen], self.bucket[chosen]]), axis=1)
+        good = labels[pairs[0]] > 0
+        inside, outside = (np.bincount(pairs[1][g], minlength=BUCKETS) for g in (good, ~good))
+        share = (good.sum() + 1) / (len(good) + 2)
+        return np.log((inside + PRIOR * share) / (outside + PRIOR * (1 - share))) - np.log(share / (1 - share))
+
+
+def features(texts: list[str]) -> tuple[np.ndarray, list[Page], Words]:
+    """Feature rows of the blocks of several pages, in order, without those of the words, the pages, and the words."""
+    said: list[list[str]] = []
     pages: list[Page] = []
     kinds: list[int] = []
     of_block: list[tuple] = []
@@ -230,19 +251,18 @@ def features(texts: list[str]) -> tuple[np.ndarray, list[Page]]:
                     homes.add(node.order)
         split = [_words("".join(b.parts)) for b in blocks]
         joined = [" ".join(w) for w in split]
-        said = _flags(joined)
-        for b, words, text, flags in zip(blocks, split, joined, said):
+        said += split
+        for b, words, text in zip(blocks, split, joined):
             size = len(text)
             listing = 2 < size < 120 and ("," in text or "+" in text) and not any(c in text for c in ".!;:")
             kinds.append(_KIND[b.kind])
-            of_block.append((size, len(words), b.link / size if size else 0.0, b.links, text[-1:] in ".!?:;…" if size else False, listing, text[:1] in "★☆►•" if size else False, *flags, b.order / n, b.order - h1, b.node.order in homes))
+            of_block.append((size, len(words), b.link / size if size else 0.0, b.links, text[-1:] in ".!?:;…" if size else False, listing, size > 0 and unicodedata.category(text[0]) in ("So", "Sm", "Po", "Sk"), b.order / n, b.order - h1, b.node.order in homes))
             filled.append(size > 0)
             node = b.node
             node.text += size
             node.link += min(b.link, size)
             node.links += b.links
             node.blocks += 1
-            node.flags += flags is not _NONE
             if b.kind == "p":
                 node.paras += 1
             elif b.kind == "li":
@@ -259,7 +279,6 @@ def features(texts: list[str]) -> tuple[np.ndarray, list[Page]]:
                 up.link += node.link
                 up.links += node.links
                 up.blocks += node.blocks
-                up.flags += node.flags
                 up.paras += node.paras
                 up.items += node.items
                 up.h1 += node.h1
@@ -272,7 +291,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, list[Page]]:
             own = (node.main > 0, node.boiler > 0, node.semantic)
             above.append(own if up is None else (own[0] + above[up.order][0], own[1] + above[up.order][1], node.semantic or above[up.order][2]))
             of_node.append((
-                node.blocks, node.text, node.text / whole, node.link / max(1, node.text), node.links, node.h1, node.heads, node.paras, node.items, node.flags, node.depth,
+                node.blocks, node.text, node.text / whole, node.link / max(1, node.text), node.links, node.h1, node.heads, node.paras, node.items, node.depth,
                 node.order / count, node.loose, node.tag in ("td", "th"), up.children if up is not None else 1, node.text / max(1, node.blocks), node.main, node.boiler, node.semantic,
             ))
         for b in blocks:
@@ -281,19 +300,19 @@ def features(texts: list[str]) -> tuple[np.ndarray, list[Page]]:
             levels.append((base + b.node.order, base + inner.order, base + outer.order))
             chain.append(above[b.node.order])
     if not kinds:
-        return np.empty((0, len(NAMES)), np.float32), pages
+        return np.empty((0, len(NAMES) - ODDS), np.float32), pages, Words([], np.empty(0, int))
     node_rows = np.array(of_node, np.float32)
     at = np.array(levels)
     kind = np.array(kinds)[:, None] == np.arange(len(KINDS))
-    return np.concatenate([kind, np.array(of_block, np.float32), node_rows[at[:, 0]], node_rows[at[:, 1]], node_rows[at[:, 2]], np.array(chain, np.float32)], axis=1, dtype=np.float32), pages
+    return np.concatenate([kind, np.array(of_block, np.float32), node_rows[at[:, 0]], node_rows[at[:, 1]], node_rows[at[:, 2]], np.array(chain, np.float32)], axis=1, dtype=np.float32), pages, Words(said, at[:, 0])
 
 
-def markup_labels(blocks: list[Block], filled: list[bool], rows: np.ndarray) -> list[int] | None:
-    """1, 0 or -1 (unknown) for each block from the page's own markup; None for pages that say nothing.
+def markup_labels(blocks: list[Block], filled: list[bool]) -> list[int] | None:
+    """1 or 0 for each block from the page's own markup; None for pages that say nothing.
 
     The container of the page's h1 holds the content where markup names it (main
-    or article, or a content token and no other). There a block that asks to
-    share, subscribe or buy is no content.
+    or article, or a content token and no other), but for what it names as something
+    else, and for calls and lines of symbols.
     """
     first = next((b for b in blocks if b.kind == "h1"), None)
     if first is None:
@@ -308,9 +327,8 @@ def markup_labels(blocks: list[Block], filled: list[bool], rows: np.ndarray) ->
         up = up.parent
     if home is None:
         return None
-    copyright, call, star, listing, size, para = map(NAMES.index, ("says_copyright", "says_call", "star", "listing", "length", "is_p"))
     labels = []
-    for b, ok, row in zip(blocks, filled, rows):
+    for b, ok in zip(blocks, filled):
         node = b.node
         within, dropped = False, False
         while node is not None:
@@ -319,11 +337,16 @@ def markup_labels(blocks: list[Block], filled: list[bool], rows: np.ndarray) ->
                 break
             dropped |= node.semantic < 0 or (node.boiler > 0 and not node.main)
             node = node.parent
-        asks = (row[call] or row[copyright]) and row[size] < 220 or row[star] or row[listing] and row[para]
-        labels.append(1 if within and ok and not dropped and not asks else 0)
+        labels.append(1 if within and ok and not dropped and not _asks(b) else 0)
     return labels
 
 
+def _asks(block: Block) -> bool:
+    """Whether a block is a call by its seed words, or begins with a symbol."""
+    text = " ".join(_words("".join(block.parts)))
+    return text[:1] != "" and unicodedata.category(text[0]) == "So" or len(text) < CALL_LENGTH and _CALL.search(text.lower()) is not None
+
+
 class Trees:
     """Boosted symmetric trees on binned features: each level of a tree has one test."""
 
@@ -423,36 +446,75 @@ def decode(blocks: list[Block], scores: list[float], filled: list[bool]) -> list
     return out
 
 
-def fit_trees(pages: DataFrame) -> Trees:
-    """Trees fitted on the labelled blocks of at most about TRAIN_PAGES pages of (id, text)."""
+def fit(x: np.ndarray, y: np.ndarray, page: np.ndarray, words: Words) -> tuple[Trees, np.ndarray]:
+    """(trees, odds of the words) from labelled blocks.
+
+    Each half of the pages has its words' odds from the other half. Blocks inside
+    the content whose words stand elsewhere on other pages, such as calls that the
+    markup does not tell apart, are no content, and the odds are learnt again.
+    """
+    labels = y.astype(np.int64)
+    fold = page % 2
+    for _ in range(2):
+        odds = np.zeros((len(y), ODDS), np.float32)
+        for half in (0, 1):
+            odds[fold == half] = words.odds(words.learn(labels, fold != half), page)[fold == half]
+        labels = np.where(odds[:, 0] < DOUBT, 0, y.astype(np.int64))
+    table = words.learn(labels, np.ones(len(y), bool))
+    whole = np.concatenate([x, odds], axis=1)
+    step = max(1.0, len(y) / TRAIN_BLOCKS)
+    chosen = (np.arange(min(len(y), TRAIN_BLOCKS)) * step).astype(int)
+    whole, labels = whole[chosen], labels[chosen].astype(float)
+    hidden = whole.copy()
+    hidden[:, ATTRIBUTES] = 0
+    return Trees.fit(np.concatenate([whole, hidden]), np.concatenate([labels, labels])), table
+
+
+def fit_trees(pages: DataFrame) -> tuple[Trees, np.ndarray]:
+    """fit() on the labelled blocks of at most about TRAIN_PAGES pages of (id, text)."""
 
     def label(batches):
         for batch in batches:
-            xs, ys = [np.empty((0, len(NAMES)), np.float32)], []
-            texts = batch.column(0).to_pylist()
-            for at in range(0, len(texts), PAGES):
-                x, pages_here = features(texts[at : at + PAGES])
-                for page in pages_here:
-                    rows = x[page.start : page.start + len(page.blocks)]
-                    y = markup_labels(page.blocks, page.filled, rows)
-                    if y is not None:
-                        xs.append(rows)
-                        ys += y
-            x = np.concatenate(xs)
-            rows = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(NAMES)).cast(pa.list_(pa.float32()))
-            yield pa.record_batch([rows, pa.array(ys, pa.int32())], names=["x", "y"])
+            kept = []
+            for text in batch.column(0).to_pylist():
+                blocks, nodes = parse(text)
+                filled = [any(not p.isspace() for p in b.parts) for b in blocks]
+                if markup_labels(blocks, filled) is not None:
+                    kept.append(text)
+            yield pa.record_batch([pa.array(kept, pa.string())], names=["text"])
 
     sample = hash_sample(pages.where("text is not null and text <> ''"), "id", TRAIN_PAGES).select("text")
-    rows = sample.mapInArrow(label, "x array<float>, y int").toArrow()  # bounded by the sample
-    y = rows.column("y").to_numpy().astype(float)
-    x = np.asarray(rows.column("x").combine_chunks().flatten()).reshape(len(y), len(NAMES)) if len(y) else np.empty((0, len(NAMES)), np.float32)
-    if len(y) > TRAIN_BLOCKS:
-        step = len(y) / TRAIN_BLOCKS
-        chosen = (np.arange(TRAIN_BLOCKS) * step).astype(int)
-        x, y = x[chosen], y[chosen]
-    hidden = x.copy()
-    hidden[:, ATTRIBUTES] = 0
-    return Trees.fit(np.concatenate([x, hidden]), np.concatenate([y, y]))
+    texts = sorted(r["text"] for r in sample.mapInArrow(label, "text string").collect())  # bounded by the sample
+    return fit_texts(texts)
+
+
+def fit_texts(texts: list[str]) -> tuple[Trees, np.ndarray]:
+    """fit() on pages in memory; those whose markup says nothing are left out."""
+    x, parsed, words = features(texts)
+    y, page = np.full(len(x), -1), np.zeros(len(x), np.int64)
+    for i, p in enumerate(parsed):
+        here = slice(p.start, p.start + len(p.blocks))
+        found = markup_labels(p.blocks, p.filled)
+        page[here] = i
+        if found is not None:
+            y[here] = found
+    known = y >= 0
+    number = np.cumsum(known) - 1
+    own = known[words.block]
+    words.bucket, words.block, words.n, words.homes = words.bucket[own], number[words.block[own]], int(known.sum()), words.homes[known]
+    return fit(x[known], y[known], page[known], words)
+
+
+class Model:
+    """Trees with the odds of words."""
+
+    def __init__(self, trees: Trees, table: np.ndarray):
+        self.trees, self.table = trees, table
+
+    def score(self, texts: list[str]) -> tuple[list[float], list[Page]]:
+        x, parsed, words = features(texts)
+        page = np.repeat(np.arange(len(parsed)), [len(p.blocks) for p in parsed])
+        return self.trees.score(np.concatenate([x, words.odds(self.table, page)], axis=1)).tolist(), parsed
 
 
 def main_blocks(pages: DataFrame, with_text: bool = False) -> DataFrame:
@@ -462,16 +524,15 @@ def main_blocks(pages: DataFrame, with_text: bool = False) -> DataFrame:
     scripts. Null and empty pages, and pages without a block of their own, have no
     row. Ids that repeat give their rows each time.
     """
-    trees = fit_trees(pages)
-    shared = pages.sparkSession.sparkContext.broadcast((trees.edges, trees.tests, trees.cuts, trees.leaves, trees.base))  # a fixed number of trees
+    trees, table = fit_trees(pages)
+    shared = pages.sparkSession.sparkContext.broadcast((trees.edges, trees.tests, trees.cuts, trees.leaves, trees.base, table))  # a fixed number of trees and buckets
 
     def run(batches):
-        model = Trees(*shared.value)
+        model = Model(Trees(*shared.value[:-1]), shared.value[-1])
         for whole in batches:
             for at in range(0, len(whole), PAGES):
                 batch = whole.slice(at, PAGES)
-                x, parsed = features(batch.column(1).to_pylist())
-                scores = model.score(x).tolist()
+                scores, parsed = model.score(batch.column(1).to_pylist())
                 out_id, out = [], []
                 for i, page in zip(batch.column(0).to_pylist(), parsed):
                     kept = decode(page.blocks, scores[page.start : page.start + len(page.blocks)], page.filled)
