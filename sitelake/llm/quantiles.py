@@ -21,6 +21,10 @@ from pyspark.sql import functions as F
 from sitelake.sources.tables import materialise
 
 
+#: Rows of a result that are passed on at a time.
+ROWS = 10_000
+
+
 def request_values(requests: DataFrame) -> DataFrame:
     """(project_id, day, measure, value): the valid elapsed_time and status_code of each request.
 
@@ -58,23 +62,30 @@ def quantiles(counts: DataFrame, groups: Sequence[str], at: Sequence[float]) ->
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.select(*groups).schema)
 
     def locate(batches):
+        rows: list[tuple] = []
+
+        def frame():
+            out = pd.DataFrame([r[len(groups) :] for r in rows], columns=["p", "n_values", "weight", "value"])
+            for i, name in enumerate(groups):
+                out.insert(i, name, pd.Series([r[i] for r in rows], dtype=object))
+            return out
+
         for group, pid, values, n in _runs(batches, groups):
             offset, total = offsets.get((pid, group), (0, None))
             ends = offset + np.cumsum(n)
             total = int(ends[-1]) if total is None else total
-            rows = []
-            for p in at:
-                position = p * (total - 1)
-                low = int(np.floor(position))
-                part = position - low
-                for rank, weight in ((low, 1 - part), (min(low + 1, total - 1), part)):
-                    if offset <= rank < ends[-1]:
-                        rows.append((p, total, weight, values[np.searchsorted(ends, rank, side="right")]))
-            if rows:
-                out = pd.DataFrame(rows, columns=["p", "n_values", "weight", "value"])
-                for name, g in reversed(list(zip(groups, group))):
-                    out.insert(0, name, pd.Series([g] * len(out), dtype=object))
-                yield out
+            position = np.array(at) * (total - 1)
+            low = np.floor(position).astype(np.int64)
+            part = position - low
+            for ranks, weights in ((low, 1 - part), (np.minimum(low + 1, total - 1), part)):
+                here = np.flatnonzero((offset <= ranks) & (ranks < ends[-1]))
+                found = values[np.searchsorted(ends, ranks[here], side="right")]
+                rows += [(*group, at[i], total, w, v) for i, w, v in zip(here.tolist(), weights[here].tolist(), found.tolist())]
+            if len(rows) >= ROWS:
+                yield frame()
+                rows.clear()
+        if rows:
+            yield frame()
 
     found = ordered.mapInPandas(locate, f"{schema}, p double, n_values long, weight double, value double")
     merged = F.sum(F.when(F.col("weight") > 0, F.col("weight") * F.col("value")).otherwise(0.0))

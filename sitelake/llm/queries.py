@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sitelake.llm import canonical, encoding, main_content, neardup, packing, pii, quantiles, tokenize
-from sitelake.sources.tables import read_spread, read_table
+from sitelake.sources.tables import materialise, read_spread, read_table
 
 
 def p2_found(spark, root):
@@ -14,7 +14,7 @@ def p2_found(spark, root):
 
 def p2_percentiles(spark, root):
     requests = read_table(spark, root, "requests", "project_id", "status_code", "elapsed_time", "created_at")
-    counts = quantiles.value_counts(quantiles.request_values(requests), ["project_id", "measure"])
+    counts = materialise(quantiles.value_counts(quantiles.request_values(requests), ["project_id", "measure"]))
     found = quantiles.quantiles(counts, ["project_id", "measure"], [0.05, 0.25, 0.5, 0.75, 0.95, 0.99])
     return found.withColumn("quantile", F.round("quantile", 6))
 
