@@ -27,8 +27,9 @@ def heavy_buckets(df: DataFrame, keys: Sequence[str], share: float = HEAVY_SHARE
     At most 1 / share numbers reach the driver.
     """
     counts = df.groupBy(bucket_of(keys).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.count()
-    return [r["bucket"] for r in counts.where(F.col("n") >= max(1.0, total * share)).select("bucket").collect()]
+    whole = counts.agg(F.sum("n").alias("total"), F.collect_list(F.struct("bucket", "n")).alias("all"))  # BUCKETS pairs at most
+    heavy = F.filter("all", lambda x: x["n"] >= F.greatest(F.lit(1.0), F.col("total") * share))
+    return list(whole.select(F.coalesce(F.transform(heavy, lambda x: x["bucket"]), F.array())).first()[0])
 
 
 def salted_aggregate(
