@@ -74,7 +74,7 @@ _search(
     "query_and_or_precedence", "pages.status_code = 404 OR pages.status_code = 500 AND pages.url CONTAINS 'de'",
     "SELECT id FROM pages WHERE status_code = 404 OR (status_code = 500 AND lower(url) LIKE '%de%')",
 )
-_search("query_quoted_and", "issues.message CONTAINS 'near and'", "SELECT id FROM audit_issues WHERE lower(message) LIKE '%near and%'")
+_search("query_quoted_and", "pages.content CONTAINS 'and the' AND pages.status_code = 200", "SELECT id FROM pages WHERE lower(content) LIKE '%and the%' AND status_code = 200")
 _search("query_output_cols", "audits.severity = 'critical'", "SELECT id, page_id, issue_code FROM audit_issues WHERE lower(severity) = 'critical'", "id page_id issue_code")
 _search("query_external_scope", "external_links.target_url CONTAINS 'badge'", "SELECT id FROM links WHERE is_external = 1 AND lower(target_url) LIKE '%badge%'")
 
