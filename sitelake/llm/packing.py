@@ -4,7 +4,9 @@ Each document is encoded once and becomes its size and a point: the mean of
 hashed directions of its tokens, in DIMENSIONS dimensions. The Hilbert key of the
 point orders the corpus, so that neighbours on the curve have similar content.
 The rows (document, size, key), without text, are range-sorted by key, and each
-partition fills containers along the curve, best fit in blocks of documents.
+partition fills containers along the curve, best fit in blocks of documents; a
+container that many others have followed is closed, so that what it holds lies close
+together on the curve.
 """
 
 from __future__ import annotations
@@ -22,8 +24,8 @@ from sitelake.sources.tables import materialise
 
 CAPACITY = 2048
 DIMENSIONS, BITS = 3, 10
-#: Documents that are ordered by size at a time; containers stay open across blocks.
-BLOCK = 8192
+#: Documents that are ordered by size at a time, and how many containers back one may still be filled.
+BLOCK, OPEN = 256, 128
 SCHEMA = "container long, doc_id long, part int, n_parts int, start long, n_tokens long"
 
 
@@ -87,20 +89,22 @@ def curve_table(documents: DataFrame, path: str | None = None) -> DataFrame:
 
 
 class _Filler:
-    """Open containers by free space; the smallest that is large enough is found by one bit operation."""
+    """The last `window` containers by free space; the smallest that is large enough is found by one bit operation."""
 
-    def __init__(self, capacity: int, first: int):
-        self.capacity, self.next, self.free, self.mask = capacity, first, {}, 0
+    def __init__(self, capacity: int, first: int, window: int = OPEN):
+        self.capacity, self.next, self.window, self.free, self.mask = capacity, first, window, {}, 0
 
     def put(self, size: int) -> int:
-        above = self.mask >> size
-        if above:
+        room, container = self.capacity, None
+        while container is None and (above := self.mask >> size):
             room = size + (above & -above).bit_length() - 1
             held = self.free[room]
             container = held.pop()
             if not held:
                 self.mask &= ~(1 << room)
-        else:
+            if container < self.next - self.window:  # it lies too far back on the curve
+                container = None
+        if container is None:
             room, container = self.capacity, self.next
             self.next += 1
         if left := room - size:

@@ -286,6 +286,12 @@ def test_packing(spark, bpe):
     assert {r["doc_id"] for r in packing.split_documents(docs(spark, texts)).collect()} == {d for d, n in sizes.items() if n > packing.CAPACITY}
 
 
+def test_containers_far_back_are_closed():
+    filler = packing._Filler(10, 0, window=3)
+    assert [filler.put(8), filler.put(2)] == [0, 0] and [filler.put(8) for _ in range(5)] == [1, 2, 3, 4, 5]
+    assert [filler.put(2) for _ in range(4)] == [5, 4, 3, 6]
+
+
 def test_hilbert_neighbours():
     grid = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
     key = packing.hilbert_key(grid, 3)
