@@ -11,6 +11,35 @@ from sitelake.functions import urls
 from sitelake.sources.tables import materialise
 
 
+#: A node with so many links is a hub: its links are spread over SALTS tasks in each round.
+HUB, SALTS = 10_000, 32
+#: So many hubs are broadcast, at some 100 bytes each; more are joined by shuffle.
+MOST_HUBS = 100_000
+
+
+def _hubs(edges: DataFrame) -> DataFrame | None:
+    """(src, hub) of the nodes with HUB links or more; None for none."""
+    hubs = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= HUB).select("src", F.lit(True).alias("hub"))
+    hubs = materialise(hubs)
+    n = hubs.count()
+    return None if not n else F.broadcast(hubs) if n <= MOST_HUBS else hubs
+
+
+def _spread(edges: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """The edges, each hub's under several salts."""
+    if hubs is None:
+        return edges.withColumn("salt", F.lit(0))
+    return edges.join(hubs, "src", "left").select("src", "dst", F.when(F.col("hub"), F.pmod(F.xxhash64("dst"), F.lit(SALTS))).otherwise(0).cast("int").alias("salt"))
+
+
+def _for_each_salt(nodes: DataFrame, hubs: DataFrame | None) -> DataFrame:
+    """Rows of (src, ...) for a join with spread edges: a hub's under each salt."""
+    if hubs is None:
+        return nodes.withColumn("salt", F.lit(0))
+    salts = F.sequence(F.lit(0), F.when(F.col("hub"), SALTS - 1).otherwise(0))
+    return nodes.join(hubs, "src", "left").withColumn("salt", F.explode(salts)).drop("hub")
+
+
 def edges_of(links: DataFrame) -> DataFrame:
     """(src, dst): distinct internal links, end slashes removed; self-loops stay, null ends don't."""
     return (
@@ -38,11 +67,15 @@ def pagerank(edges: DataFrame, damping: float = 0.85, rounds: int = 100, toleran
     n = nodes.count()
     if not n:
         return nodes.select("node", F.lit(0.0).alias("rank"))
+    if (hubs := _hubs(edges)) is not None:
+        edges = materialise(_spread(edges, hubs))
+    on = ["src"] if hubs is None else ["src", "salt"]
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))
     for _ in range(rounds):
         loose = ranks.where("degree IS NULL").agg(F.sum("rank").alias("r")).first()["r"] or 0.0
+        parts = ranks.where("degree IS NOT NULL").select(F.col("node").alias("src"), (F.col("rank") / F.col("degree")).alias("part"))
         passed = (
-            edges.join(ranks.where("degree IS NOT NULL").select(F.col("node").alias("src"), (F.col("rank") / F.col("degree")).alias("part")), "src")
+            edges.join(parts if hubs is None else _for_each_salt(parts, hubs), on)
             .groupBy(F.col("dst").alias("node"))
             .agg(F.sum("part").alias("got"))
         )
@@ -81,10 +114,14 @@ def propagate_status(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     to one of the seeds', the rounds end.
     """
     edges = materialise(edges)
+    if (hubs := _hubs(edges)) is not None:
+        edges = materialise(_spread(edges, hubs))
+    on = ["src"] if hubs is None else ["src", "salt"]
     best = materialise(seeds.select("node", "status"))
     risen = best
     while True:
-        sent = edges.join(risen.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("status").alias("sent"))
+        sending = risen.withColumnRenamed("node", "src")
+        sent = edges.join(sending if hubs is None else _for_each_salt(sending, hubs), on).groupBy(F.col("dst").alias("node")).agg(F.max("status").alias("sent"))
         risen = materialise(
             sent.join(best, "node", "left").where("status IS NULL OR sent > status").select("node", F.col("sent").alias("status"))
         )

@@ -150,6 +150,22 @@ def project_worst_level(spark, root):
     return table(spark, root, "requests", "project_id", "elapsed_time", "status_code").groupBy("project_id").agg(worst.alias("worst"))
 
 
+_OUTCOMES = {-1: "client error", -2: "internal error", -10: "unsupported type", -99: "unknown error"}  # fixed values: status codes of fetches that had no answer
+
+
+@query(
+    "SELECT outcome, count(*) AS n FROM (SELECT CASE status_code " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _OUTCOMES.items()) + """ ELSE
+    CASE WHEN status_code IS NULL OR status_code <= 0 THEN 'no answer' WHEN status_code >= 400 THEN 'failed' WHEN status_code >= 300 THEN 'redirected' ELSE 'answered' END END AS outcome FROM requests) GROUP BY outcome"""
+)
+def fetch_outcomes(spark, root):
+    """Requests by how they ended, with the codes that stand for fetches without an answer."""
+    code = F.col("status_code")
+    known = F.when(code.isNull() | (code <= 0), "no answer").when(code >= 400, "failed").when(code >= 300, "redirected").otherwise("answered")
+    for value, name in _OUTCOMES.items():
+        known = F.when(code == value, name).otherwise(known)
+    return table(spark, root, "requests", "status_code").groupBy(known.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # predicates and typed rows
 @query("SELECT id, element_type FROM audit_issues WHERE element_type IN ('image', 'anchor', 'h1')")
 def issues_of_elements(spark, root):

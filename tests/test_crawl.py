@@ -102,6 +102,15 @@ def test_graph_fixture(spark):
     assert {tuple(r) for r in graph.levels(edges, seeds.select("node"), 3).collect()} == {("a", 0), ("x", 0), ("b", 1), ("y", 1), ("d", 2)}
 
 
+def test_hubs_are_spread(spark, monkeypatch):
+    edges = spark.createDataFrame([("h", f"n{i}") for i in range(9)] + [(f"n{i}", "h") for i in range(4)] + [("n1", "n2")], "src string, dst string")
+    seeds = spark.createDataFrame([("h", 404), ("n8", 200)], "node string, status int")
+    found = lambda: ({r["node"]: round(r["rank"], 9) for r in graph.pagerank(edges, rounds=3, tolerance=None).collect()}, {tuple(r) for r in graph.propagate_status(edges, seeds).collect()})
+    plain = found()
+    monkeypatch.setattr(graph, "HUB", 5)
+    assert graph._hubs(edges) is not None and found() == plain
+
+
 def test_status_travels_any_distance(spark, monkeypatch):
     # rows kept in memory: a checkpoint a round would take minutes
     monkeypatch.setattr(graph, "materialise", lambda df: spark.createDataFrame(df.collect(), df.schema))

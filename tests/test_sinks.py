@@ -41,3 +41,10 @@ def test_windows_stream(spark, tmp_path):
     run = q.writeStream.outputMode("complete").format("memory").queryName("counts").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     run.awaitTermination(60)
     assert {(r["status_code"], r["n"]) for r in spark.table("counts").collect()} == {(200, 2), (404, 1)}
+
+
+def test_flushed_stream(spark, tmp_path):
+    spark.createDataFrame([(1, "2020-01-01 05:00:00", 200), (1, "2020-01-01 05:00:00", 200)], "id long, created_at string, status_code int").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("id long, created_at string, status_code int").parquet(str(tmp_path / "in"))
+    windows.flushed(windows.first_seen(stream), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 1
