@@ -41,7 +41,7 @@ def p5_texts(spark, root):
 
 
 def _body_texts(spark, root):
-    return read_spread(spark, root, "htmldocument", "page_id", "body_text").toDF("id", "text")
+    return read_table(spark, root, "htmldocument", "page_id", "body_text").toDF("id", "text")  # read several times, so never spread
 
 
 def p4_found(spark, root):
@@ -55,7 +55,7 @@ def p4_groups(spark, root):
 
 def p4_content_groups(spark, root):
     """As p4_groups, over whole pages.content; body_text holds the first 5,000 characters only."""
-    return neardup.near_groups(_contents(spark, root)).withColumnRenamed("id", "page_id")
+    return neardup.near_groups(read_table(spark, root, "pages", "id", "content").toDF("id", "text")).withColumnRenamed("id", "page_id")
 
 
 def _url_fields(spark, root):
