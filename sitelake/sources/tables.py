@@ -14,7 +14,7 @@ def read_table(spark: SparkSession, root: str, name: str, *columns: str) -> Data
 
 
 #: Tables of fewer bytes, by the planner's estimate, are spread over all cores where their files would leave some idle.
-SMALL_BYTES = 256 << 20
+SMALL_BYTES = 32 << 20
 
 
 def read_spread(spark: SparkSession, root: str, name: str, *columns: str) -> DataFrame:
